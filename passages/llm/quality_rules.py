@@ -42,7 +42,10 @@ COUNTS = {
     "n_chars": "length(t)",
     "n_words": "size(words)",
     "n_word_chars": "length(t) - n_spaces",
-    "n_symbols": "length(t) - length(translate(t, '#$%&*|<>{}[]^~=_+\\\\/@', ''))",
+    "n_symbols": "length(regexp_replace(t, '[^#$%&*|<>{}\\\\[\\\\]^~=_+\\\\\\\\/@]+', ''))",
+    "n_upper": "length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', ''))",
+    "n_exclaim": "length(t) - length(replace(t, '!', ''))",
+    "n_repeats": "size(filter(words, (w, i) -> i > 0 AND w = get(words, i - 1)))",
     "n_stop": "size(filter(words, w -> w IN (%s)))" % ", ".join(f"'{w}'" for w in STOP_WORDS),
     "n_lines": "size(lines)",
     "n_distinct_lines": "size(array_distinct(lines))",
@@ -53,6 +56,9 @@ RULES = (
     Rule("few_words", "n_words", 1, None),
     Rule("word_length", "n_word_chars / n_words", 1.5, 15, 20),
     Rule("symbols", "n_symbols / n_chars", None, 0.05, 10),
+    Rule("capitals", "n_upper / n_word_chars", None, 0.5, 20),
+    Rule("exclamations", "n_exclaim / n_words", None, 0.5, 20),
+    Rule("repeated_words", "n_repeats / n_words", None, 0.2, 20),
     Rule("stop_words", "n_stop / n_words", 0.02, None, 50),
     Rule("repeated_lines", "n_distinct_lines / n_lines", 0.5, None, 50),
     Rule("ellipsis_lines", "n_ellipsis / n_lines", None, 0.3, 20),
@@ -69,7 +75,7 @@ def _broken(r: Rule) -> str:
 def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
     """The id, the counts of COUNTS and whatever columns are named in ``also`` (under their names)."""
     base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_also_{i}") for i, c in enumerate(also or [])], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    split = base.selectExpr("*", "filter(split(lower(t), '[ \\\\t\\\\r\\\\n]+'), w -> w <> '') AS words", "filter(split(t, '[\\\\r\\\\n]+'), l -> l <> '') AS lines", "length(t) - length(translate(t, ' \\t\\r\\n', '')) AS n_spaces")
+    split = base.selectExpr("*", "filter(split(lower(t), '[ \\\\t\\\\r\\\\n]+'), w -> w <> '') AS words", "filter(split(t, '[\\\\r\\\\n]+'), l -> l <> '') AS lines", "length(regexp_replace(t, '[^ \\\\t\\\\r\\\\n]+', '')) AS n_spaces")
     return split.selectExpr("doc_id", *[f"`_also_{i}`" for i in range(len(also or []))], *[f"CAST({e} AS BIGINT) AS {n}" for n, e in COUNTS.items()])
 
 
@@ -94,7 +100,10 @@ def oracle() -> str:
         "n_chars": "length(t)",
         "n_words": "len(words)",
         "n_word_chars": "length(t) - n_spaces",
-        "n_symbols": "length(t) - length(translate(t, '#$%&*|<>{}[]^~=_+\\/@', ''))",
+        "n_symbols": "length(regexp_replace(t, '[^#$%&*|<>{}\\[\\]^~=_+\\\\/@]+', '', 'g'))",
+        "n_upper": "length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g'))",
+        "n_exclaim": "length(t) - length(replace(t, '!', ''))",
+        "n_repeats": "len(list_filter(words, lambda w, i: i > 1 AND w = words[i - 1]))",
         "n_stop": "len(list_filter(words, lambda w: w IN (%s)))" % ", ".join(f"'{w}'" for w in STOP_WORDS),
         "n_lines": "len(lines)",
         "n_distinct_lines": "len(list_distinct(lines))",
@@ -104,7 +113,7 @@ def oracle() -> str:
     failed = "concat_ws(',', %s)" % ", ".join(f"CASE WHEN {_broken(r).replace('D)', ')').replace('D OR', ' OR')} THEN '{r.name}' END" for r in RULES)
     return (
         "WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
-        "w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[ \\t\\r\\n]+'), lambda w: w <> '') AS words, list_filter(regexp_split_to_array(t, '[\\r\\n]+'), lambda l: l <> '') AS lines, length(t) - length(translate(t, ' ' || chr(9) || chr(13) || chr(10), '')) AS n_spaces FROM s), "
+        "w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[ \\t\\r\\n]+'), lambda w: w <> '') AS words, list_filter(regexp_split_to_array(t, '[\\r\\n]+'), lambda l: l <> '') AS lines, length(regexp_replace(t, '[^ \\t\\r\\n]+', '', 'g')) AS n_spaces FROM s), "
         f"c AS (SELECT doc_id, {', '.join(f'CAST({e} AS BIGINT) AS {n}' for n, e in counts.items())} FROM w), "
         f"f AS (SELECT *, {failed} AS failed FROM c) SELECT *, failed = '' AS keep FROM f"
     )
