@@ -76,7 +76,9 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
     """The id, the counts of COUNTS and whatever columns are named in ``also`` (under their names)."""
     base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_also_{i}") for i, c in enumerate(also or [])], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     split = base.selectExpr("*", "filter(split(lower(t), '[ \\\\t\\\\r\\\\n]+'), w -> w <> '') AS words", "filter(split(t, '[\\\\r\\\\n]+'), l -> l <> '') AS lines", "length(regexp_replace(t, '[^ \\\\t\\\\r\\\\n]+', '')) AS n_spaces")
-    return split.selectExpr("doc_id", *[f"`_also_{i}`" for i in range(len(also or []))], *[f"CAST({e} AS BIGINT) AS {n}" for n, e in COUNTS.items()])
+    # a generator of one row: filters on the counts stay above it, so that the counts aren't worked out again for each use in a filter
+    counts = ", ".join(f"'{n}', CAST({e} AS BIGINT)" for n, e in COUNTS.items())
+    return split.selectExpr("doc_id", *[f"`_also_{i}`" for i in range(len(also or []))], f"inline(array(named_struct({counts})))")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, also: list[str] | None = None) -> DataFrame:
