@@ -121,7 +121,7 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
             v = 0
             for x in w.hashes[w.bounds[r] : w.bounds[r + 1]]:
                 v = (v * _Q + int(x)) % (1 << 64)
-            out[bounds[r]] = (v + int(size[r])) % (1 << 64)
+            out[bounds[r]] = v
     return mix(out), bounds
 
 
