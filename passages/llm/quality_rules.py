@@ -67,7 +67,9 @@ RULES = (
 
 
 def _broken(r: Rule) -> str:
-    bounds = [f"{r.metric} {op} {bound!r}D" for op, bound in (("<", r.least), (">", r.most)) if bound is not None]
+    over, _, under = r.metric.partition(" / ")
+    metric = f"coalesce({over} / nullif({under}, 0), 0)" if under else over
+    bounds = [f"{metric} {op} {bound!r}D" for op, bound in (("<", r.least), (">", r.most)) if bound is not None]
     test = f"({' OR '.join(bounds)})"
     return f"(n_words >= {r.from_words} AND {test})" if r.from_words else test
 
