@@ -19,6 +19,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -66,38 +67,71 @@ def score_rows(w: Words, weights: np.ndarray) -> np.ndarray:
     return weights[0] + shape(w) @ weights[1 : N_SHAPE + 1] + mean if n else np.empty(0)
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> np.ndarray:
-    """Logistic regression by Adam over full batches of sparse counts."""
-    weights = np.zeros(1 + N_SHAPE + BUCKETS)
-    if len(texts) == 0 or len(set(y.tolist())) < 2:
-        return weights
-    xs, rows, cols, vals, at = [], [], [], [], 0
-    batch = pa.record_batch({"t": pa.array(texts, pa.large_string())})
-    for part, w in slices(batch, "t"):
+class Examples(NamedTuple):
+    """Labelled rows: shape features, and in CSR form the buckets of their words with weights."""
+
+    shape: np.ndarray
+    bounds: np.ndarray
+    buckets: np.ndarray
+    values: np.ndarray
+
+
+def examples(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, Examples]]:
+    for part, w in slices(batch, column):
         n = len(w.rows) - 1
-        xs.append(shape(w))
         key = np.repeat(np.arange(n), np.diff(w.bounds)) * BUCKETS + (w.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
         k, c = np.unique(key, return_counts=True)
-        rows.append(k // BUCKETS + at)
-        cols.append(k % BUCKETS)
-        vals.append(c / np.maximum(np.diff(w.bounds), 1)[k // BUCKETS] * 10)
-        at += n
-    x, r, c, v = np.concatenate(xs), np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+        row = k // BUCKETS
+        yield part, Examples(shape(w).astype(np.float32), np.searchsorted(row, np.arange(n + 1)), (k % BUCKETS).astype(np.int16), (c / np.maximum(np.diff(w.bounds), 1)[row] * 10).astype(np.float32))
+
+
+def fit(x: Examples, y: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> np.ndarray:
+    """Logistic regression by Adam over full batches; all weights 0 without labels of both kinds."""
+    weights = np.zeros(1 + N_SHAPE + BUCKETS)
+    n = len(y)
+    if len(set(y.tolist())) < 2:
+        return weights
+    size = np.diff(x.bounds)
+    penalty = np.full(len(weights), l2)  # words, of which there are thousands, are held back; the few shape features are not
+    penalty[: N_SHAPE + 1] = l2 / 1000
     m1, m2 = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, rounds + 1):
-        z = weights[0] + x @ weights[1 : N_SHAPE + 1] + np.bincount(r, v * weights[N_SHAPE + 1 :][c], minlength=at)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / at
-        grad = np.concatenate([[g.sum()], x.T @ g, np.bincount(c, v * g[r], minlength=BUCKETS)]) + l2 * weights / at
+        product = weights[N_SHAPE + 1 :].astype(np.float32)[x.buckets]
+        product *= x.values
+        sums = np.concatenate([[0.0], np.cumsum(product, dtype=np.float64)])
+        z = weights[0] + x.shape @ weights[1 : N_SHAPE + 1] + sums[x.bounds[1:]] - sums[x.bounds[:-1]]
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        del sums
+        product[:] = np.repeat(g.astype(np.float32), size)
+        product *= x.values
+        grad = np.concatenate([[g.sum()], x.shape.T @ g, np.bincount(x.buckets, product, minlength=BUCKETS)]) + penalty * weights
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         weights -= 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return weights
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """Weights; texts become features where they are read, and only those of the sample reach the driver."""
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("double").alias("y")).filter("y IS NOT NULL AND i IS NOT NULL").groupBy("i").agg(F.avg("y").alias("y"))
     some = lab.orderBy(F.xxhash64("i"), "i").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i").orderBy("i").select("t", "y").toPandas()
-    return fit(rows["t"].fillna("").tolist(), (rows["y"].to_numpy() >= 0.5).astype(float))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, x in examples(batch, "t"):
+                cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(x.bounds[:-1].tolist(), x.bounds[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([r.tobytes() for r in x.shape], pa.binary()), cut(x.buckets), cut(x.values)], ["i", "y", "shape", "buckets", "words"])
+
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i")
+    t = rows.mapInArrow(features, f"i {docs.schema[id_col].dataType.simpleString()}, y double, shape binary, buckets binary, words binary").toArrow()
+    if not len(t):
+        return np.zeros(1 + N_SHAPE + BUCKETS)
+    t = t.take(np.lexsort([t.column("y").to_numpy(), t.column("i").to_numpy()]))
+    whole = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+    size = np.array([len(b) // 2 for b in t.column("buckets").to_pylist()])
+    x = Examples(whole("shape", np.float32).reshape(-1, N_SHAPE), np.concatenate([[0], np.cumsum(size)]), whole("buckets", np.int16), whole("words", np.float32))
+    y = (t.column("y").to_numpy() >= 0.5).astype(float)
+    del t
+    return fit(x, y)
 
 
 def evidence(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
