@@ -1,6 +1,7 @@
 """License scans: sentence-rule recognition.
 
-Texts are cut into sentences, each sentence is normalised and looked up among known licence sentences, and the
+Texts are cut into sentences, each sentence (and, if it isn't known, each of its ends that begins with a line) is
+normalised and looked up among known licence sentences, and the
 identifiers met in a document, in order, are matched against ordered rules (sequences of identifiers that must
 follow one another with no other known sentence between). A rule whose match lies inside a longer rule's match
 in the same document is dropped, so a full licence text isn't also reported as its parts.
@@ -62,7 +63,7 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Unlicense", "unlicense_head", _UNLICENSE),
     ("MPL-2.0", "mpl_notice", (_MPL,)),
 )
-#: Sentences end at line breaks without a full stop only in the pieces below; licence texts wrap lines, so a single line break is a space.
+#: Licence texts wrap lines, so a single line break is a space here; ``_hits`` also tries it as the start of a sentence.
 _ENDS = r"[.!?;:]+[ \t\r\n]+|[.!?;:]+\z|\n[ \t\r]*\n+"
 
 
@@ -88,13 +89,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     """(doc_id, license, rule, matches, first_sentence): ``first_sentence`` is the place of the first match among the document's sentences."""
     spark = docs.sparkSession
     known, seqs = _tables(rules)
-    table = spark.createDataFrame(known, "sentence string, sid int")
     heads = {}
     for licence, rule, seq, n in seqs:
         heads.setdefault(int(seq.split(",")[1]), []).append((licence, rule, seq, n))
     starts = spark.createDataFrame([(sid, *r) for sid, rs in heads.items() for r in rs], "sid int, license string, rule string, seq string, n int")
-    lines = _lines(docs, id_col, text_col, min(len(k) for k, _ in known), max(len(k) for k, _ in known))
-    hits = lines.join(F.broadcast(table), "sentence").select("doc_id", "pos", "sid")
+    hits = _hits(docs, id_col, text_col, known)
     w = Window.partitionBy("doc_id").orderBy("pos")
     longest = max(n for *_, n in seqs)
     # each hit with the identifiers from it on, as far as the longest rule reaches
@@ -110,10 +109,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     return kept.groupBy("doc_id", "license", "rule").agg(F.count("*").alias("matches"), F.min("pos").cast("long").alias("first_sentence"))
 
 
-def _lines(docs, id_col, text_col, least, most):
+def _hits(docs, id_col, text_col, known):
+    """(doc_id, pos, sid): known sentences. A piece that isn't known as a whole is known by the longest of its ends that begins with one of its lines."""
+    least, most = min(len(k) for k, _ in known), max(len(k) for k, _ in known)
+    sids = F.create_map(*[F.lit(x) for row in known for x in row])
+    flat = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
     # a sentence's normal form is never longer than itself plus nothing, so short ones drop out before they are normalised
     cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(F.col(text_col)), _ENDS)).alias("pos", "s")).filter(F.length("s") >= least)
-    return cut.select("doc_id", "pos", F.trim(F.regexp_replace("s", "[^a-z0-9]+", " ")).alias("sentence")).filter(F.length("sentence").between(least, most))
+    # lines that aren't empty have a character and a space at least, so no known sentence has more of them than this
+    lines = F.filter(F.transform(F.split("s", "\n"), flat), lambda x: x != "")
+    cut = cut.select("doc_id", "pos", lines.alias("lines")).filter(F.size("lines") > 0)
+    cut = cut.select("doc_id", "pos", F.slice("lines", F.greatest(F.lit(1), F.size("lines") - (most + 1) // 2), (most + 1) // 2 + 1).alias("lines"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.array_join(F.slice("lines", i, F.size("lines")), " "))
+    ends = F.filter(ends, lambda x: F.length(x).between(least, most))
+    found = F.filter(F.transform(ends, lambda x: F.element_at(sids, x)), lambda x: x.isNotNull())
+    return cut.select("doc_id", "pos", F.get(found, F.lit(0)).alias("sid")).filter("sid IS NOT NULL")
 
 
 def oracle() -> str:

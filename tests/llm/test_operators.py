@@ -232,6 +232,19 @@ def test_licenses(spark, edge, empty):
     assert [(r["doc_id"], r["license"]) for r in license_scan.scan(edge).collect()] == [(10, "MIT")]
 
 
+def test_license_lines(spark, sf):
+    """Known lines on lines of their own are found, whatever the line before ends in: as a plain search for them does."""
+    lines = {s[0]: r for _, r, s in license_scan.RULES if r.endswith(("_line", "_licensed"))}
+    sf = sf if not sf.endswith("sf0.001") else sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    glued = [(-1, "a title\nReleased under the MIT License."), (-2, "| a | b |\n" * 900 + "Licensed under\nCC BY 4.0.\nmore"), (-3, "not Licensed under CC BY 4.0.")]
+    docs = docs.union(spark.createDataFrame(glued, docs.schema))
+    got = {(r["doc_id"], r["rule"]) for r in license_scan.scan(docs).collect()}
+    plain = {(r["doc_id"], rule) for r in docs.collect() for line, rule in lines.items() if r["text"] and re.search(r"(^|[.!?;:]\s+|\n)[^0-9A-Za-z]*" + re.escape(line), r["text"])}
+    assert {(-1, "mit_line"), (-2, "cc_by_line")} <= got and not any(i == -3 for i, _ in got)
+    assert len(plain) > 30 and plain <= got
+
+
 # 6
 
 
