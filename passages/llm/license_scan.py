@@ -79,6 +79,23 @@ def _tables(rules):
     return sorted(ids.items(), key=lambda x: x[1]), seqs
 
 
+#: The Apache notice ends a line without a full stop and then gives an address, which may follow on the same line.
+_MORE = tuple(("Apache-2.0", "apache_notice", (*_APACHE[:2], f"{_APACHE[2]} {s}://www.apache.org/licenses/LICENSE-2.0{e}", *_APACHE[3:])) for s in ("http", "https") for e in ("", ".html", ".txt"))
+
+
+def _pieces(text: str) -> list[str]:
+    return [n for s in re.split(_ENDS.replace(r"\z", r"\Z"), text.lower()) if (n := normal(s))]
+
+
+def _cut(rules):
+    """The rules with their sentences cut as documents are: each by itself, and run together where that gives other pieces."""
+    out = []
+    for licence, rule, sentences in rules:
+        ways = ([p for s in sentences for p in _pieces(s)], _pieces(" ".join(sentences)))
+        out += [(licence, rule, w) for i, w in enumerate(ways) if w not in ways[:i]]
+    return out
+
+
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, sentence): normalised, with the empty ones left out."""
     cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(F.col(text_col)), _ENDS)).alias("pos", "s"))
@@ -88,13 +105,18 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """(doc_id, license, rule, matches, first_sentence): ``first_sentence`` is the place of the first match among the document's sentences."""
     spark = docs.sparkSession
-    known, seqs = _tables(rules)
+    known, seqs = _tables(_cut(rules + _MORE if rules is RULES else rules))
     heads = {}
     for licence, rule, seq, n in seqs:
         heads.setdefault(int(seq.split(",")[1]), []).append((licence, rule, seq, n))
     starts = spark.createDataFrame([(sid, *r) for sid, rs in heads.items() for r in rs], "sid int, license string, rule string, seq string, n int")
     hits = _hits(docs, id_col, text_col, known)
     w = Window.partitionBy("doc_id").orderBy("pos")
+    # a piece as short as "2.0" is common: it counts only after the piece that it follows in a rule
+    short = [i for k, i in known if len(k) < 8]
+    follows = {f"{a},{b}" for _, _, seq, _ in seqs for a, b in zip(seq.split(",")[1:-1], seq.split(",")[2:-1]) if int(b) in short}
+    if short:
+        hits = hits.withColumn("two", F.concat_ws(",", F.lag("sid").over(w), "sid")).filter(~F.col("sid").isin(short) | F.col("two").isin(sorted(follows))).drop("two")
     longest = max(n for *_, n in seqs)
     # each hit with the identifiers from it on, as far as the longest rule reaches
     follow = hits.select("*", F.row_number().over(w).alias("at"), *[F.lead("sid", j).over(w).alias(f"n{j}") for j in range(1, longest)])

@@ -245,6 +245,20 @@ def test_license_lines(spark, sf):
     assert len(plain) > 30 and plain <= got
 
 
+def test_every_license_rule(spark):
+    """Each rule's own text gives that rule and no other, run together or a sentence a line."""
+    rows = [(i, "Some title\n" + " ".join(s) + "\n\nThe end.") for i, (_, _, s) in enumerate(license_scan.RULES)]
+    rows += [(100 + i, "Some title\n" + "\n\n".join(s)) for i, (_, _, s) in enumerate(license_scan.RULES)]
+    apache = next(s for _, r, s in license_scan.RULES if r == "apache_notice")
+    for i, (gap, url, after) in enumerate([(" ", "http://www.apache.org/licenses/LICENSE-2.0", "\n\n"), ("\n\n    ", "http://www.apache.org/licenses/LICENSE-2.0", "\n\n"), ("\n", "https://www.apache.org/licenses/LICENSE-2.0", "\n"), ("\n", "https://www.apache.org/licenses/LICENSE-2.0.html", ".\n")]):
+        rows.append((200 + i, " ".join(apache[:3]) + gap + url + after + " ".join(apache[3:])))
+    free = next(s for _, r, s in license_scan.RULES if r == "unlicense_head")
+    rows.append((300, f"2.0. {free[0]} 2.0. {free[1]}"))
+    got = sorted((r["doc_id"], r["rule"], r["matches"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(k + i, r, 1) for k in (0, 100) for i, (_, r, _) in enumerate(license_scan.RULES)] + [(200 + i, "apache_notice", 1) for i in range(4)] + [(300, "unlicense_head", 1)]
+    assert got == sorted(want)
+
+
 # 6
 
 
