@@ -21,6 +21,16 @@ def test_runs(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).count() >= 0
 
 
+@pytest.mark.parametrize("name", ["chain_scores_self", "chain_scores_reversed"])
+def test_all_documents_are_queries(spark, sf, name):
+    """Every document with enough fingerprints meets itself, short ones and long ones too."""
+    counts = Q.QUERIES["winnowed_index"](spark, sf).groupBy("doc_id").agg({"fp": "count"})
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    short = {r["doc_id"] for r in docs.filter("length(text) < 2000").join(counts.filter("`count(fp)` >= 40"), "doc_id").collect()}
+    got = {r["query_id"] for r in Q.QUERIES[name](spark, sf).collect()}
+    assert short and short <= got
+
+
 def test_goldens(spark, sf):
     if not sf.endswith("sf0.001"):
         pytest.skip("goldens are for sf0.001")
