@@ -107,6 +107,26 @@ def test_pair_recall(spark):
     assert len(got) >= 0.9 * len(want) and set(got.items()) <= set(want.items())
 
 
+def test_template_recall():
+    """Splitting a big bucket of pages of one template keeps the planted pairs, at any base similarity."""
+    assert jaccard_join.runs_for(0.5, 0.97, 3) == 27
+    for pages, base in ((2000, 0.33), (2000, 0.1), (3000, 0.02)):
+        rng = np.random.default_rng(pages + int(100 * base))
+        template = rng.integers(0, 1 << 16, jaccard_join.SKETCH)
+        make = lambda n: np.where(rng.random((n, jaccard_join.SKETCH)) < base**0.5, template, rng.integers(0, 1 << 16, (n, jaccard_join.SKETCH)))  # noqa: B023, E731
+        sk = make(pages)
+        twins = make(300)
+        sk[:600:2] = twins
+        sk[1:600:2] = np.where(rng.random(twins.shape) < (0.53 - base) / (1 - base), twins, sk[1:600:2])
+        sk = sk.astype("<u2")
+        planted = {(i, i + 1) for i in range(0, 600, 2) if (sk[i] == sk[i + 1]).mean() >= 0.5}
+        links, _ = jaccard_join.solve(np.arange(pages), sk, 0.5, np.random.default_rng(1))
+        found = {(min(x, y), max(x, y)) for a, b, _ in links for x, y in zip(a.tolist(), b.tolist())}
+        taken = {y for a, b, e in links for y, z in zip(b.tolist(), e.tolist()) if z >= 0.62}
+        planted = {p for p in planted if not taken & set(p)}
+        assert len(planted) > 50 and len(planted & found) >= 0.98 * len(planted)
+
+
 # 2
 
 
