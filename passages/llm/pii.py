@@ -35,7 +35,8 @@ _WIDE = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<!\w)\+\d{7,15}(?!\w))"
+    r"|(?P<phone>(?<![\w.+(])(?<!\d[ .-])(?=(?:[+(). -]{0,3}\d){7})(?!(?:[+(). -]{0,3}\d){16})(?:\+\d{1,3}[ .-]?(?:\(?\d\)?[ .-]?)?|\d[ .-])?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]{0,2}(?:\(\d{2,4}\)|(?<!\d)\d{2,4}))+(?![\w]|[ .-]\d)"
+    r"|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<!\w)\+\d{7,15}(?!\w))"
     r"|(?P<number>(?<![\w.,])\d{5,12}(?![\w]))"
 )
 _STRICT = {
@@ -44,7 +45,7 @@ _STRICT = {
     "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]{11,38}"),
     "ssn": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}"),
     "card": re.compile(r"\d{16}|\d{15}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}"),
-    "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"),
+    "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|(?:\+\d{1,3}[ .-]?|0)\(?[1-9]\)?(?:[ .-]?\d\d){4}|(?:\+34[ .-]?)?[6-9]\d{1,2}(?:[ .-]\d{2,3}){2,3}|[2-9]\d\d-\d{4}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
 }
 _TLDS = frozenset("com org net edu gov io de fr es it uk co eu info biz ch at be nl pl ru jp cn br in us ca au".split())
@@ -60,6 +61,7 @@ _FOR = {
     "number": re.compile(r"account|passport|licen[cs]e no|patient|\bid\b", re.I),
 }
 _AGAINST = re.compile(r"isbn|issn|doi|version|\bv\.?\s?$|page|order|invoice|figure|fig\.|pp\.|commit|sha\d*|md5|\bno\.\s?$|§", re.I)
+_DATE = re.compile(r"(?:19|20)\d\d([ .-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([ .-])(?:0?[1-9]|[12]\d|3[01])\2(?:19|20)\d\d|(?:19|20)\d\d[ -]+(?:19|20)\d\d")
 _NEAR = 32
 
 
@@ -86,7 +88,7 @@ def votes(kind: str, s: str, before: str, after: str) -> str:
     elif kind == "email":
         valid = "y" if ".." not in s and s.rpartition(".")[2].isalpha() else "n"
     elif kind == "phone":
-        valid = "y" if 7 <= len(digits) <= 15 else "n"
+        valid = "y" if 7 <= len(digits) <= 15 and not _DATE.fullmatch(s) else "n"
     elif kind == "secret":
         valid = "y" if len(set(s)) >= 10 and sum(c.isdigit() for c in s) >= 3 else "n"
     else:
@@ -104,7 +106,7 @@ def votes(kind: str, s: str, before: str, after: str) -> str:
         known = "n" if s.startswith(("127.", "0.", "10.", "192.168.", "255.")) else "-"
     context = "y" if _FOR[kind].search(before) else "-"
     against = "n" if _AGAINST.search(before) else "-"
-    shape = "n" if kind == "number" or len(set(digits)) == 1 and len(digits) > 4 else "-"
+    shape = "n" if kind == "number" or kind == "phone" and _DATE.fullmatch(s) or len(set(digits)) == 1 and len(digits) > 4 else "-"
     edge = "y" if (not before or not before[-1].isalnum()) and (not after or not after[0].isalnum()) else "n"
     return strict + valid + known + context + against + shape + edge
 

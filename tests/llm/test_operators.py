@@ -179,6 +179,21 @@ def test_pii(spark, edge, empty):
     assert by[0] is None and by[1] == "" and "[EMAIL]" in by[12] and "[SECRET]" in by[12]
 
 
+def test_phone_forms(spark):
+    """French, Spanish and local numbers are found and redacted; dates and years aren't."""
+    forms = ["06 12 34 56 78", "+33 6 12 34 56 78", "+34 612 34 56 78", "91 123 45 67", "555-0123", "01.23.45.67.89", "+1 (212) 555-0123"]
+    for f in forms:
+        assert [(a, b, k) for a, b, k, _ in pii.spans(f"a {f} b")] == [(2, 2 + len(f), "phone")]
+    assert not [k for *_, k, _ in pii.spans("a 12 34 b 1 2 3 4 5 6 7 c 12 34 56 78 90 12 34 56 78 d") if k == "phone"]
+    rnd = random.Random(8)
+    rows = [(i, f"{sentence(rnd, 9)} tel {f[:-2]}{rnd.randrange(10, 100)} {sentence(rnd, 9)}") for i, f in enumerate(forms * 20)]
+    dates = ["2024-01-15", "15.01.2024", "1999-2004", "03-11-2021"]
+    rows += [(1000 + i, f"{sentence(rnd, 9)} on {d} {sentence(rnd, 9)}") for i, d in enumerate(dates * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in pii.find(df).collect()} == set(range(140))
+    assert {r["doc_id"] for r in pii.redact(df).collect() if "[PHONE]" in r["text"]} == set(range(140))
+
+
 def test_em_recovers_reliabilities():
     rnd = np.random.default_rng(0)
     counts = collections.Counter()
