@@ -30,12 +30,15 @@ _pow: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
+    """base**0 .. base**(n-1) modulo 2**64; kept between calls as far as a slice needs them, worked out anew beyond."""
     have = _pow.get(base)
     if have is None or len(have) < n:
-        step = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        size = max(n, SLICE_BYTES + 2)
+        step = np.full(size, base, np.uint64)
         step[0] = 1
-        have = _pow[base] = np.multiply.accumulate(step)
+        have = np.multiply.accumulate(step)
+        if size == SLICE_BYTES + 2:
+            _pow[base] = have
     return have[:n]
 
 
@@ -82,10 +85,29 @@ def row_slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def words(arr: pa.Array, lower: bool = True) -> Words:
-    """Hash the words of a (small) array of texts without nulls."""
+    """Hash the words of an array of texts without nulls: of a small one at once, of a single long text in runs of whole words."""
     if lower:
         arr = pc.utf8_lower(arr)
     data, off = buffers(arr)
+    if len(data) <= SLICE_BYTES or len(off) != 2:
+        return _words(data, off)
+    parts, at = [], 0
+    while at < len(data):
+        to = min(len(data), at + SLICE_BYTES)
+        while to < len(data):  # a cut before a character that is in no word
+            gap = np.flatnonzero(~_CLASS[data[to : to + SLICE_BYTES]])
+            if len(gap):
+                to += int(gap[0])
+                break
+            to = min(len(data), to + SLICE_BYTES)
+        w = _words(data[at:to], np.array([0, to - at]))
+        parts.append((w.hashes, w.starts + at, w.ends + at))
+        at = to
+    h, starts, ends = (np.concatenate(x) for x in zip(*parts))
+    return Words(h, np.array([0, len(h)]), starts, ends, data, off)
+
+
+def _words(data: np.ndarray, off: np.ndarray) -> Words:
     is_word = _CLASS[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = is_word[:-1], is_word[1:]
@@ -115,7 +137,8 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.concatenate([w.hashes, np.zeros(n, np.uint64)])
     out = np.zeros(len(first), np.uint64)
     for j in range(n):
-        out = out * np.uint64(_Q) + h[first + j]
+        out *= np.uint64(_Q)
+        out += h[first + j]
     if len(short := np.flatnonzero((size < n) & (size > 0))):
         for r in short:
             v = 0
