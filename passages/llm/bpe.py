@@ -4,22 +4,37 @@ Encoding a text is splitting it by the tokenizer's pattern and encoding each pie
 than texts do, so the split is done in NumPy over the UTF-8 buffer and only pieces that a worker has not
 yet met go through the library. Rows with characters whose class the byte tables don't know (anything but
 ASCII and the letters U+00C0 to U+00FF) are encoded by the library outright; the ids are always the same.
+
+The library's pattern engine gives up on very long runs of white space, so a long text goes to it in parts. White space after
+anything else always starts a piece, so a text may be cut there; the white space of a long run that the pattern
+takes for one piece (all of it at the text's end, else all but the last) is encoded as such.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from passages.llm.text import buffers, mix, powers, row_slices
+from passages.llm.text import SLICE_BYTES, buffers, mix, powers, row_slices
 
+#: Where the public vocabularies lie on the machines; another place is given as the operators' ``vocabulary``.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEEP = 1_000_000
+#: Pieces that a worker remembers.
+KEEP = 200_000
+
+#: Characters of a text that the library gets at once, at least; runs of white space longer than RUN are encoded apart.
+PART, RUN = 1 << 16, 256
+#: White space as the pattern engine has it (Python's has four control characters more).
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_CUT = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+_LONG = re.compile(f"[{_WHITE}]{{{RUN},}}")
 
 _L, _N, _O, _S = 1, 2, 3, 4
 _CLASS = np.full(256, _O, np.uint8)
@@ -63,6 +78,15 @@ def split(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def cuts(text: str, least: int) -> Iterator[str]:
+    """Parts of at least so many characters (but the last) whose encodings are the text's one after another."""
+    at = 0
+    while len(text) - at > least and (m := _CUT.search(text, at + least)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Encoder:
     def __init__(self, path: str = DEFAULT_VOCABULARY):
         import tiktoken
@@ -84,8 +108,6 @@ class Encoder:
         np.cumsum(_TABLE[data] * powers(_P, len(data)), out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * powers(_P_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
         codes, unique = pd.factorize(h)
-        if len(self.known) > KEEP:
-            self._reset()
         at = self.known.get_indexer(unique)
         if len(new := np.flatnonzero(at < 0)):
             some = np.full(len(unique), -1)
@@ -100,6 +122,21 @@ class Encoder:
             self.sizes, self.ids = np.concatenate([self.sizes, size]), np.concatenate([self.ids, flat])
         return at[codes]
 
+    def whole(self, text: str) -> list[int]:
+        """The ids of a text of any length and characters."""
+        if len(text) <= RUN:
+            return self.bpe.encode_ordinary(text)
+        out, at = [], 0
+        for m in _LONG.finditer(text):
+            a, b = m.start(), m.end() - (m.end() < len(text))
+            out += self._parts(text[at:a])
+            out += self.bpe._encode_single_piece(text[a:b].encode())
+            at = b
+        return out + self._parts(text[at:])
+
+    def _parts(self, text: str) -> list[int]:
+        return [i for t in cuts(text, PART) for i in self.bpe.encode_ordinary(t)]
+
     def encode(self, arr: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Token counts of each text (no nulls) and, if asked for, all ids in one run."""
         data, off = buffers(arr)
@@ -120,7 +157,7 @@ class Encoder:
                 to += 1
             if slow[at]:
                 for r in range(at, to):
-                    t = self.bpe.encode_ordinary(arr[r].as_py())
+                    t = self.whole(arr[r].as_py())
                     counts[r] = len(t)
                     parts.append(np.array(t, np.int32))
             else:
@@ -146,5 +183,12 @@ def encoder(path: str) -> Encoder:
 def encoded(arr: pa.Array, path: str, ids: bool = True):
     """(first row, end row, counts, ids) for small runs of rows."""
     e = encoder(path)
-    for a, b in row_slices(buffers(arr)[1]):
-        yield a, b, *e.encode(arr.slice(a, b - a), ids)
+    off = buffers(arr)[1]
+    for a, b in row_slices(off):
+        if off[b] - off[a] <= 2 * SLICE_BYTES:
+            yield a, b, *e.encode(arr.slice(a, b - a), ids)
+        else:  # one long text, in parts
+            got = [e.encode(pa.array([t], pa.large_string()), ids) for t in cuts(arr[a].as_py(), SLICE_BYTES)]
+            yield a, b, np.array([sum(int(n[0]) for n, _ in got)]), np.concatenate([i for _, i in got])
+        if len(e.known) > KEEP or len(e.ids) > 4 * KEEP:
+            e._reset()

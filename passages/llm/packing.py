@@ -6,8 +6,9 @@ Pieces of one length form a bucket; batches are drawn from one bucket at a time,
 and none crosses documents. Everything happens where the text is read: there is no shuffle, and ids of a run
 of documents go out as slices of one buffer.
 
-Defined results: a null or empty text gives no piece; repeated rows give their pieces again; a null id is kept;
-an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text gives no piece; repeated rows give their pieces again; a null id is kept; a text of any length and
+characters is packed whole (long ones are encoded in parts and their pieces go out in several batches); an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from passages.llm.bpe import DEFAULT_VOCABULARY, encoded
+from passages.llm.storage import text_batches
 from passages.llm.text import filled
 
 LONGEST = 8192
@@ -36,7 +38,7 @@ def decompose(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return row, np.repeat(np.tile(1 << np.arange(bits, -1, -1), len(sizes)), counts.ravel())
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, longest: int = LONGEST) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, longest: int = LONGEST, batch_tokens: int = 1 << 22) -> DataFrame:
     """(doc_id, bucket, piece, start, tokens): pieces numbered from 0 in each document; ``start`` is the first token's place and ``bucket`` the length."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -47,21 +49,25 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             for a, b, sizes, ids in encoded(text, vocabulary):
                 row, length = decompose(sizes, longest)
                 ends = np.cumsum(length)
-                if len(ends) and ends[-1] > 1 << 30:
-                    raise ValueError("a single text of over 2**30 tokens")
                 first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))])
                 doc_start = np.cumsum(sizes) - sizes
-                yield pa.record_batch(
-                    {
-                        "doc_id": batch.column(0).slice(a, b - a).take(pa.array(row)),
-                        "bucket": pa.array(length.astype(np.int32)),
-                        "piece": pa.array((np.arange(len(row)) - first[row]).astype(np.int32)),
-                        "start": pa.array(ends - length - doc_start[row]),
-                        "tokens": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids)),
-                    }
-                )
+                x = 0
+                while x < len(row):  # list offsets are 32-bit: as many pieces as have at most so many tokens
+                    done = int(ends[x] - length[x])
+                    y = max(x + 1, int(np.searchsorted(ends, done + batch_tokens, "right")))
+                    r = row[x:y]
+                    yield pa.record_batch(
+                        {
+                            "doc_id": batch.column(0).slice(a, b - a).take(pa.array(r)),
+                            "bucket": pa.array(length[x:y].astype(np.int32)),
+                            "piece": pa.array((np.arange(x, y) - first[r]).astype(np.int32)),
+                            "start": pa.array(ends[x:y] - length[x:y] - doc_start[r]),
+                            "tokens": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[x:y] - done]).astype(np.int32)), pa.array(ids[done : int(ends[y - 1])])),
+                        }
+                    )
+                    x = y
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(cut, SCHEMA)
+    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))).mapInArrow(cut, SCHEMA)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

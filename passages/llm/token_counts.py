@@ -6,7 +6,7 @@ answer totals, quantiles and the tokens that remain under any context limit with
 running sums are two-level (blocks of lengths, then lengths in a block), so no task sorts all lengths.
 
 Defined results: a null or empty text has length 0 and counts as a document; every row counts, repeated
-rows too; an empty table gives an empty histogram; other columns are ignored.
+rows too; a text of any length and characters is counted whole; an empty table gives an empty histogram; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from passages.llm.bpe import DEFAULT_VOCABULARY, encoded
+from passages.llm.storage import text_batches
 from passages.llm.text import filled
 
 BLOCK = 1024
@@ -34,7 +35,7 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = DEFAULT_V
                     seen[k] = seen.get(k, 0) + n
         yield pa.record_batch({"length": pa.array(list(seen), pa.int64()), "docs": pa.array(list(seen.values()), pa.int64())})
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(count, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return text_batches(docs.select(F.col(text_col).alias("t"))).mapInArrow(count, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
