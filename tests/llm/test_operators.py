@@ -150,6 +150,50 @@ def test_contamination(spark, edge, empty):
 # 3
 
 
+def luhn(head):
+    """The 15 digits with their check digit."""
+    d = [int(c) for c in str(head)]
+    s = sum(x if i % 2 else x * 2 - 9 * (x > 4) for i, x in enumerate(d))
+    return head * 10 + -s % 10
+
+
+def brute_model(signatures):
+    """Span probabilities worked out span by span: EM over single spans, then gradient descent on the logistic loss until it stops."""
+    post = {}
+    for kind in {s.split("|")[0] for s in signatures}:
+        rows = [s.split("|")[1] for s in signatures if s.startswith(f"{kind}|")]
+        prior = ({"y": 2, "n": 6, "-": 4}, {"y": 6, "n": 2, "-": 4})
+        theta = [[{v: c / 12 for v, c in p.items()} for p in prior] for _ in rows[0]]
+        if kind in pii.CHECKSUMS:
+            good, chance = pii.CHECKSUMS[kind]
+            theta[1] = [{"y": chance, "n": 1 - chance, "-": 1e-9}, {"y": good, "n": 1 - good, "-": 1e-9}]
+        rate = 0.5
+        for _ in range(200):
+            q = []
+            for v in rows:
+                like = [1 - rate, rate]
+                for j, c in enumerate(v):
+                    like = [like[y] * theta[j][y][c] for y in (0, 1)]
+                q.append(like[1] / sum(like))
+            rate = (sum(q) + 1) / (len(q) + 2)
+            for j in range(len(rows[0])):
+                if j == 1 and kind in pii.CHECKSUMS:
+                    continue
+                for y in (0, 1):
+                    c = {k: prior[y][k] + sum(p if y else 1 - p for v, p in zip(rows, q) if v[j] == k) for k in "yn-"}
+                    theta[j][y] = {k: x / sum(c.values()) for k, x in c.items()}
+        post |= {f"{kind}|{v}": p for v, p in zip(rows, q)}
+    names = sorted({n for s in signatures for n in pii.names_of(s)})
+    x = np.array([[1.0] + [float(n in set(pii.names_of(s))) for n in names] for s in signatures])
+    y = np.array([post[s.rpartition("|")[0]] for s in signatures])
+    w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        speed = 0.99 * speed - 0.1 * (x.T @ (p - y) / len(y) + pii.L2 * w)
+        w = w + speed
+    return dict(zip(signatures, 1 / (1 + np.exp(-(x @ w)))))
+
+
 def test_pii(spark, edge, empty):
     rnd = random.Random(3)
     rows = []
@@ -160,17 +204,23 @@ def test_pii(spark, edge, empty):
         if i % 5 == 0:
             t += f" call +1 ({100 + i}) 555-{1000 + i} today"
         if i % 7 == 0:
-            t += f" card {4_000_000_000_000_000 + i * 7_919_191_919:016d} end"
+            t += f" card {luhn(4_000_000_000_000_00 + i * 791_919_191)} end"
+        if i % 11 == 0:
+            t += f" {luhn(9_000_000_000_000_00 + i * 791_919_191) + 1} end"  # fails the checksum, as nine in ten chance numbers do
         rows.append((i, t))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.find(df).collect()
     want = {(i, k) for i in range(200) for k, m in (("email", 4), ("phone", 5), ("card", 7)) if i % m == 0}
     assert {(r["doc_id"], r["kind"]) for r in found} == want
     text = dict(rows)
+    cands = [(i, *x) for i, t in rows for x in pii.spans(t)]
+    p_of, ours = brute_model([x[4] for x in cands]), pii.model(pii.candidates(df))
+    assert set(p_of) == set(ours) and all(abs(p_of[k] - ours[k]) < 0.01 for k in ours)
+    assert {(r["doc_id"], r["start"], r["end"], r["kind"]) for r in found} == {x[:4] for x in cands if p_of[x[4]] >= 0.5}
     for r in found:
         assert re.fullmatch(r"\S+@\S+|\+1 \(\d+\) 555-\d+|\d{16}", text[r["doc_id"]][r["start"] : r["end"]])
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
-    assert not any(re.search(r"@|555-|\d{16}", t) for t in clean.values())
+    assert not any(re.search(r"@|555-|\b4\d{15}", t) for t in clean.values())
     assert all(clean[i] == t for i, t in rows if i % 4 and i % 5 and i % 7)
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
     got = pii.redact(edge)
@@ -197,7 +247,7 @@ def test_phone_forms(spark):
 def test_em_recovers_reliabilities():
     rnd = np.random.default_rng(0)
     counts = collections.Counter()
-    acc = [0.95, 0.9, 0.8, 0.75, 0.7, 0.85, 0.6]
+    acc = [0.95, 0.9, 0.8, 0.75, 0.7, 0.85, 0.6, 0.55]
     truth = []
     for _ in range(20_000):
         y = rnd.random() < 0.4
