@@ -7,19 +7,21 @@ the contexts of that anchor's occurrences. This leaves one row in about ``least
 
 1. Anchors that occur once (counted with map-side partial sums) are dropped: no repeated run holds them.
 2. Contexts (the words within reach of a run that holds the anchor) that occur more than once are repeated as a whole, so all their
-   words are marked; one of each such group stands for it below.
+   words are marked; one of each such group stands for it below. Counts and the one that stands are aggregated before they are shuffled and joined back, so a passage
+   that a third of all rows share gathers in no task.
 3. Where an anchor has several different contexts, these are gathered, anchor by anchor, into blocks. A block's Burrows-Wheeler
-   transform is expanded breadth-first by backward extension: after step l the intervals are the words' runs of length l, and
-   boundaries that appear in step l + 1 are where the common prefix has length l. It stops at ``least``: intervals that
+   transform is expanded breadth-first by backward extension: after step l the intervals are the words' runs of length l, so a
+   boundary that appears in step l + 1 has the common prefix l: prefixes are derived by increasing value, up to ``least``, where it stops. Intervals that
    are left hold runs of ``least`` equal words, repeated if they come from more than one place.
-4. Marked runs of a document are merged into maximal passages.
+4. An anchor with more different contexts than a block holds (``hot_contexts``) isn't gathered: its contexts' runs of ``least`` words that hold the anchor, of
+   which each has ``least - k + 1`` at most, are counted by hash in one aggregation instead, which gives the same passages.
+5. Marked runs of a document are merged into maximal passages.
 
-Each step is exact (up to 64-bit hashes) and has no cap. Blocks are made of whole anchors: equal contexts are collapsed first, so a block's
-memory grows with the different contexts of its most varied anchor.
+Each step is exact (up to 64-bit hashes) and has no cap.
 
 Defined results: words are those of ``passages.llm.text``; null and empty texts, and those under ``least`` words, give no row; a passage repeated within one
-document counts, and so does one of repeated rows; rows with a null id are left out; different texts under one id are both searched and reported under it;
-an empty table gives an empty result; other columns are ignored.
+document counts, and so does one of repeated rows; rows with a null id are left out; different texts under one id are both searched and reported under it; texts of any length are searched whole;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from passages.llm.storage import stored
+from passages.llm.storage import stored, text_batches
 from passages.llm.text import Words, grams, signed, slices, window_hashes
 
 LEAST = 50
 BLOCK_WORDS = 400_000
+HOT_CONTEXTS = 5_000
 
 
 def _kgrams(w: Words, k: int) -> np.ndarray:
@@ -44,7 +47,7 @@ def _kgrams(w: Words, k: int) -> np.ndarray:
     return window_hashes(w, lo, lo + k)
 
 
-def anchors_of(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(w: Words, least: int, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place among ``w.hashes``, k-gram hash) of all anchors."""
     k = least // 2
     wide = least - k + 1
@@ -52,19 +55,21 @@ def anchors_of(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts = len(g) - wide + 1
     if starts <= 0:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    low = np.uint64((1 << 24) - 1)
-    if len(g) > int(low):
-        raise ValueError("a slice of over 2**24 words")
-    key = (g & ~low) | (low - np.arange(len(g), dtype=np.uint64))
-    # minimum over windows of ``wide``, by doubling
-    m, have = key, 1
-    while have * 2 <= wide:
-        m = np.minimum(m[:-have], m[have:])
-        have *= 2
-    m = np.minimum(m[:starts], m[wide - have : wide - have + starts])
-    end = np.repeat(w.bounds[1:], np.diff(w.bounds))[:starts]
-    m = m[np.arange(starts) + least <= end]
-    at = np.unique((low - (m & low)).astype(np.int64))
+    low, end = np.uint64((1 << 24) - 1), np.repeat(w.bounds[1:], np.diff(w.bounds))[:starts]
+    parts = []
+    for x in range(0, starts, step):  # windows in runs, so that places fit into the key's low bits
+        part = g[x : x + step + wide - 1]
+        here = len(part) - wide + 1
+        key = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64))
+        # minimum over windows of ``wide``, by doubling
+        m, have = key, 1
+        while have * 2 <= wide:
+            m = np.minimum(m[:-have], m[have:])
+            have *= 2
+        m = np.minimum(m[:here], m[wide - have : wide - have + here])
+        m = m[np.arange(x, x + here) + least <= end[x : x + here]]
+        parts.append(np.unique((low - (m & low)).astype(np.int64)) + x)
+    at = np.unique(np.concatenate(parts))
     row = np.searchsorted(w.bounds, at, "right") - 1
     return row, at, g[at]
 
@@ -86,7 +91,7 @@ def anchors(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFram
                 c = window_hashes(w, lo, hi) ^ (at - lo).astype(np.uint64)
                 yield pa.record_batch({"doc_id": part.column(0).take(pa.array(row)), "anchor": pa.array(signed(g)), "context": pa.array(signed(c)), "lo": pa.array((lo - first).astype(np.int32)), "hi": pa.array((hi - first).astype(np.int32))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(pick, ANCHORS)
+    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))).mapInArrow(pick, ANCHORS)
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -108,23 +113,25 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 
 def expand(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """Interval number of each suffix, in suffix order, after ``least`` backward extensions: equal numbers mean equal runs of that length."""
+    """Common prefix of each suffix with the one before it, in suffix order, up to ``least`` (the first has 0): by breadth-first backward extension, which
+    gives all prefixes of 0, then all of 1, and so on."""
     n = len(text)
     bwt = text[order - 1]
     # LF: where the suffix goes when it is extended to the left by its BWT word; ``back`` is its inverse
     back = np.argsort(bwt, kind="stable")
     head = bwt[back]
     word = np.concatenate([[True], head[1:] != head[:-1]])
+    prefix = np.full(n, least, np.int32)
     interval = np.zeros(n, np.int64)
-    for _ in range(least):
+    for step in range(least):
         prev = interval[back]
         edge = word.copy()
         edge[1:] |= prev[1:] != prev[:-1]
-        new = np.cumsum(edge) - 1
-        if new[-1] == n - 1:
-            return new
-        interval = new
-    return interval
+        prefix[edge & (prefix > step)] = step
+        interval = np.cumsum(edge) - 1
+        if interval[-1] == n - 1:
+            break
+    return prefix
 
 
 def repeats_in(tokens: np.ndarray, lengths: np.ndarray, doc: np.ndarray, lo: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +148,7 @@ def repeats_in(tokens: np.ndarray, lengths: np.ndarray, doc: np.ndarray, lo: np.
     ctx = np.repeat(np.arange(n_ctx), lengths + 1)
     off = np.arange(len(text)) - starts[ctx]
     order = suffix_order(text)
-    interval = expand(text, order, least)
+    interval = np.cumsum(expand(text, order, least) < least) - 1
     size = np.bincount(interval)
     c, o = ctx[order], off[order]
     keep = (size[interval] > 1) & (o + least <= lengths[c])
@@ -156,16 +163,19 @@ def repeats_in(tokens: np.ndarray, lengths: np.ndarray, doc: np.ndarray, lo: np.
     return c[good], o[good]
 
 
+def _flat(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words one after another, and how many each context has."""
+    offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    tokens = np.frombuffer(raw.buffers()[2], np.uint8)[offs[0] : offs[-1]].view("<u4") if len(raw) and offs[-1] > offs[0] else np.empty(0, np.uint32)
+    return tokens, np.diff(offs).astype(np.int64) // 4
+
+
 def _blocks(least: int, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(parts):
             t = pa.Table.from_batches(parts)
-            raw = t.column("words").combine_chunks()
-            if isinstance(raw, pa.ChunkedArray):
-                raw = raw.chunk(0)
-            offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-            tokens = np.frombuffer(raw.buffers()[2], np.uint8)[offs[0] : offs[-1]].view("<u4") if len(raw) and offs[-1] > offs[0] else np.empty(0, np.uint32)
-            lengths = np.diff(offs).astype(np.int64) // 4
+            flat = [_flat(c) for c in t.column("words").chunks]
+            tokens, lengths = np.concatenate([x for x, _ in flat]), np.concatenate([x for _, x in flat])
             doc, lo = t.column("doc_id").to_numpy(), t.column("lo").to_numpy().astype(np.int64)
             c, o = repeats_in(tokens, lengths, doc, lo, least)
             at = lo[c] + o
@@ -203,8 +213,9 @@ def _blocks(least: int, block_words: int):
     return run
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """``wanted``: (doc_id, w: array of (anchor, lo, hi, context)); gives (doc_id, anchor, lo, words), words as 32-bit values."""
+def _contexts(docs: DataFrame, wanted: DataFrame, least: int, id_col: str, text_col: str, runs: bool = False) -> DataFrame:
+    """``wanted``: (doc_id, w: array of (anchor, lo, hi, context)); gives (doc_id, anchor, lo, words), words as 32-bit values; or with ``runs``
+    (doc_id, run, lo), the hash of each run of ``least`` words in a context."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,6 +230,13 @@ def _contexts(docs: DataFrame, wanted: DataFrame, least: int, id_col: str, text_
                 ours = np.flatnonzero(fits & (near <= np.uint64(least)))  # else the context is another row's of the same id
                 anchor, lo, row, first = flat.field(0).take(pa.array(ours)), flat.field(1).take(pa.array(ours)), row[ours], first[ours]
                 size = (last[ours] - first).astype(np.int64)
+                if runs:
+                    count = np.maximum(size - least + 1, 0)
+                    each = np.repeat(np.arange(len(row)), count)
+                    step = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                    run = window_hashes(w, first[each] + step, first[each] + step + least)
+                    yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(row[each])), "run": pa.array(signed(run)), "lo": pa.array((lo.to_numpy()[each] + step).astype(np.int32))})
+                    continue
                 ends = np.cumsum(size)
                 take = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
                 small = (w.hashes >> np.uint64(32)).astype("<u4")[np.minimum(take, max(len(w.hashes) - 1, 0))]
@@ -227,22 +245,31 @@ def _contexts(docs: DataFrame, wanted: DataFrame, least: int, id_col: str, text_
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), anchor, lo, words], ["doc_id", "anchor", "lo", "words"])
 
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(wanted, "doc_id")
-    return both.select("doc_id", "t", "w").mapInArrow(cut, "doc_id long, anchor long, lo int, words binary")
+    return text_batches(both.select("doc_id", "t", "w")).mapInArrow(cut, "doc_id long, run long, lo int" if runs else "doc_id long, anchor long, lo int, words binary")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, block_words: int = BLOCK_WORDS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): maximal passages made of runs of ``least`` words that occur more than once in the corpus."""
     if least < 4:
         raise ValueError("least must be 4 or more")
     all_anchors = stored(anchors(docs, least, id_col, text_col).filter("doc_id IS NOT NULL"))
     counts = all_anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1")
-    live = all_anchors.join(counts.select("anchor", "mixed"), "anchor")
-    by = Window.partitionBy("anchor", "context").orderBy("doc_id", "lo")
-    live = stored(live.select("*", F.lead("doc_id").over(by).isNull().alias("last"), F.lag("doc_id").over(by).isNull().alias("first")))
-    whole = live.filter(~(F.col("first") & F.col("last"))).select("doc_id", "lo", "hi")
-    wanted = live.filter("mixed AND first").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "context")).alias("w"))
-    blocks = _contexts(docs, wanted, least, id_col, text_col).repartition("anchor").sortWithinPartitions("anchor")
+    live = stored(all_anchors.join(counts.select("anchor", "mixed"), "anchor"))
+    # equal contexts have equal anchors, so the context alone is the key
+    per = stored(live.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("at"), F.first("anchor").alias("anchor"), F.first("mixed").alias("mixed")))
+    whole = live.join(per.filter("n > 1").select("context"), "context", "left_semi").select("doc_id", "lo", "hi")
+    mixed = per.filter("mixed").select("anchor", "context", "at.*")
+    hot = stored(mixed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot_contexts).select("anchor"))
+    entry = F.collect_list(F.struct("anchor", "lo", "hi", "context")).alias("w")
+    some_hot = bool(hot.take(1))
+    cool = mixed.join(hot, "anchor", "left_anti") if some_hot else mixed
+    blocks = _contexts(docs, cool.groupBy("doc_id").agg(entry), least, id_col, text_col).repartition("anchor").sortWithinPartitions("anchor")
     marked = whole.unionByName(blocks.mapInArrow(_blocks(least, block_words), "doc_id long, lo int, hi int"))
+    if some_hot:
+        runs = stored(_contexts(docs, mixed.join(hot, "anchor", "left_semi").groupBy("doc_id").agg(entry), least, id_col, text_col, runs=True))
+        place = F.struct("doc_id", "lo")
+        again = runs.groupBy("run").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("run")
+        marked = marked.unionByName(runs.join(again, "run", "left_semi").select("doc_id", "lo", (F.col("lo") + least).alias("hi")))
     w = Window.partitionBy("doc_id").orderBy("lo", "hi")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     islands = marked.select("*", F.max("hi").over(before).alias("reach")).select("*", F.sum(F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))

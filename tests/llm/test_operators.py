@@ -283,14 +283,28 @@ def brute_repeats(rows, least):
     return out
 
 
-@pytest.mark.parametrize("least", [4, 12, 50])
-def test_repeats(spark, docs, edge, empty, least):
-    for df in (docs, edge):
+@pytest.mark.parametrize("least, hot", [(4, 3), (12, suffix_dedup.HOT_CONTEXTS), (12, 1), (50, suffix_dedup.HOT_CONTEXTS)])
+def test_repeats(spark, docs, edge, empty, least, hot):
+    rnd = random.Random(12)
+    passage = sentence(rnd, 60)
+    shared = spark.createDataFrame([(i, f"{sentence(rnd, rnd.randrange(40))} {passage} {sentence(rnd, rnd.randrange(40))}") for i in range(60)], "doc_id long, text string")
+    for df in (docs, edge, shared):
         rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
-        assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated(df, least=least, block_words=5000).collect()} == brute_repeats(rows, least)
+        got = suffix_dedup.repeated(df, least=least, block_words=5000, hot_contexts=hot).collect()
+        assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == brute_repeats(rows, least)
     assert suffix_dedup.repeated(empty, least=least).count() == 0
 
 
+def test_anchors_of_long_texts():
+    """Windows taken in runs give the anchors that they give at once."""
+    from passages.llm.text import words
+
+    import pyarrow as pa
+
+    w = words(pa.array([sentence(random.Random(1), 3000), "a b c", sentence(random.Random(2), 2000)], pa.large_string()))
+    assert all(np.array_equal(a, b) for a, b in zip(suffix_dedup.anchors_of(w, 50), suffix_dedup.anchors_of(w, 50, step=700)))
+
+
 def test_suffix_order_and_intervals():
     rnd = np.random.default_rng(1)
     for _ in range(30):
@@ -298,11 +312,10 @@ def test_suffix_order_and_intervals():
         order = suffix_dedup.suffix_order(text)
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
         for least in (1, 2, 5):
-            iv = suffix_dedup.expand(text, order, least)
-            for x, y, a, b in zip(order[:-1], order[1:], iv[:-1], iv[1:]):
-                whole = max(x, y) + least < len(text)
-                if whole:
-                    assert (a == b) == (text[x : x + least].tolist() == text[y : y + least].tolist())
+            prefix = suffix_dedup.expand(text, order, least)
+            for x, y, got in zip(order[:-1], order[1:], prefix[1:]):
+                common = next((k for k in range(len(text)) if max(x, y) + k >= len(text) or text[x + k] != text[y + k]), 0)
+                assert got == min(common, least)
 
 
 # 5
