@@ -46,8 +46,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     universe = rows.select("key").distinct()
     listed = universe.filter(F.md5(F.col("key")) < "2")
     filters = stored(url_filters.build(universe, listed))
-    shards = (filters.agg(F.max("shard")).first()[0] or 0) + 1
-    return url_filters.apply(rows, filters, shards, ["page_id", "url"])
+    return url_filters.apply(rows, filters, ["page_id", "url"])
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ so a level needs no job of its own. Looking up broadcasts the filters while they
 
 Defined results: a null or empty URL has the key '' and is listed only if the list has it; repeated rows are
 answered one by one; repeated list entries count once; keys on the list that the universe lacks have no effect on the answers
-for the universe; an empty list lists nothing; other columns are ignored.
+for the universe; an empty list lists nothing, as does one of which the universe has no key; a URL of any length is a key; empty tables give empty results; other columns, whatever their names, are ignored,
+and those that are asked for come out under their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from passages.llm.storage import text_batches
 from passages.llm.text import mix
 
 SHARD_KEYS = 1 << 20
@@ -93,11 +95,12 @@ def answer(levels: list[Bloom], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out
 
 
-FILTERS = "shard int, level int, k int, m long, bits binary"
+#: ``shards`` is the number that the universe was cut into, on every row: shards without listed keys have no row.
+FILTERS = "shards int, shard int, level int, k int, m long, bits binary"
 
 
 def build(universe: DataFrame, listed: DataFrame, shards: int | None = None) -> DataFrame:
-    """The filters (shard, level, k, m, bits) for a universe and a list, each a DataFrame of one column ``key``."""
+    """The filters (shards, shard, level, k, m, bits) for a universe and a list, each a DataFrame of one column ``key``."""
     marked = universe.select("key", F.lit(0).alias("on"), F.lit(1).alias("here")).unionByName(listed.select("key", F.lit(1).alias("on"), F.lit(0).alias("here")))
     marked = marked.select(F.coalesce("key", F.lit("")).alias("key"), "on", "here").select(*_hashes(F.col("key")), "on", "here")
     if shards is None:
@@ -109,7 +112,7 @@ def build(universe: DataFrame, listed: DataFrame, shards: int | None = None) ->
         h1, h2, on = (t.column(c).to_numpy() for c in ("h1", "h2", "on"))
         levels = cascade(h1, h2, on == 1)
         shard = t.column("shard")[0].as_py() if len(t) else 0
-        return pa.table({"shard": pa.array([shard] * len(levels), pa.int32()), "level": pa.array([f.level for f in levels], pa.int32()), "k": pa.array([f.k for f in levels], pa.int32()), "m": pa.array([f.m for f in levels], pa.int64()), "bits": pa.array([f.bits.tobytes() for f in levels], pa.binary())})
+        return pa.table({"shards": pa.array([shards] * len(levels), pa.int32()), "shard": pa.array([shard] * len(levels), pa.int32()), "level": pa.array([f.level for f in levels], pa.int32()), "k": pa.array([f.k for f in levels], pa.int32()), "m": pa.array([f.m for f in levels], pa.int64()), "bits": pa.array([f.bits.tobytes() for f in levels], pa.binary())})
 
     return keys.groupBy("shard").applyInArrow(make, FILTERS)
 
@@ -118,12 +121,17 @@ def _bloom(r) -> Bloom:
     return Bloom(r["level"], r["k"], r["m"], np.frombuffer(r["bits"], np.uint8))
 
 
-def apply(rows: DataFrame, filters: DataFrame, shards: int, cols: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def apply(rows: DataFrame, filters: DataFrame, cols: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``rows`` has ``cols`` and ``key``; gives ``cols`` and ``listed``. ``filters`` should be a stored table: it is measured, then read again."""
-    schema = rows.select(*cols).schema
-    keyed = rows.select(*cols, *_hashes(F.coalesce("key", F.lit("")))).select("*", _shard(shards))
-    size = filters.agg(F.sum(F.length("bits"))).first()[0] or 0
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", listed boolean"
+    kinds = [rows.schema[c].dataType.simpleString() for c in cols]
+    about = filters.agg(F.sum(F.length("bits")).alias("size"), F.max("shards").alias("shards")).first()
+    size, shards = about["size"] or 0, about["shards"] or 1
+    # inside, the caller's columns go by their places
+    keyed = rows.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(cols)], *_hashes(F.coalesce("key", F.lit(""))))
+    own = keyed.columns[: len(cols)]
+    keyed = keyed.select("*", _shard(shards))
+    out_schema = ", ".join([*(f"{c} {k}" for c, k in zip(own, kinds)), "listed boolean"])
+    named = lambda out: out.toDF(*cols, "listed")
     if size <= broadcast_bytes:
         by: dict[int, list] = {}
         for r in filters.orderBy("shard", "level").collect():
@@ -137,28 +145,33 @@ def apply(rows: DataFrame, filters: DataFrame, shards: int, cols: list[str], bro
                 for shard in np.unique(s):
                     at = np.flatnonzero(s == shard)
                     listed[at] = answer(shared.value.get(int(shard), []), h1[at], h2[at])
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(listed)], [*cols, "listed"])
-
-        return keyed.mapInArrow(look, out_schema)
-    # filters first in each shard, then its rows
-    mixed = keyed.select(*cols, "h1", "h2", "shard", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("bits"))
-    mixed = mixed.unionByName(filters.select("*", F.lit(0).alias("kind")), allowMissingColumns=True)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(listed)], [*own, "listed"])
+
+        return named(text_batches(keyed).mapInArrow(look, out_schema))
+    # each shard's filters go with its rows; a shard is dealt to parts by its share of the rows, so a hot key fills no task and the filters are copied once a part
+    total = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = keyed.groupBy("shard").agg(F.count("*").alias("n"))
+    deal = counts.select("shard", F.ceil(F.col("n") * total / F.sum("n").over(Window.partitionBy())).cast("int").alias("parts"))
+    dealt = keyed.withColumn("turn", F.monotonically_increasing_id()).join(deal, "shard").withColumn("part", F.pmod(F.xxhash64("turn"), "parts").cast("int"))
+    mixed = dealt.select(*own, "h1", "h2", "shard", "part", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("bits"))
+    copies = filters.drop("shards").join(deal, "shard").select("shard", "level", "k", "m", "bits", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    mixed = mixed.unionByName(copies, allowMissingColumns=True)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, levels = None, []
         for b in batches:
-            kind, s = b.column("kind").to_numpy(), b.column("shard").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero((s[1:] != s[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(s)]])
+            kind, s, p = (b.column(c).to_numpy() for c in ("kind", "shard", "part"))
+            edges = np.concatenate([[0], np.flatnonzero((s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(s)]])
             for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if a == z:
                     continue
                 part = b.slice(a, z - a)
-                if s[a] != now:
-                    now, levels = s[a], []
+                if (s[a], p[a]) != now:
+                    now, levels = (s[a], p[a]), []
                 if kind[a] == 0:
                     levels += [_bloom(r) for r in part.select(["level", "k", "m", "bits"]).to_pylist()]
                 else:
                     h1, h2 = (part.column(c).to_numpy() for c in ("h1", "h2"))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(answer(levels, h1, h2))], [*cols, "listed"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(answer(levels, h1, h2))], [*own, "listed"])
 
-    return mixed.repartition("shard").sortWithinPartitions("shard", "kind", "level").mapInArrow(meet, out_schema)
+    return named(text_batches(mixed.repartition("shard", "part")).sortWithinPartitions("shard", "part", "kind", "level").mapInArrow(meet, out_schema))
