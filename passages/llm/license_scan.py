@@ -158,14 +158,15 @@ def _hits(docs, id_col, text_col, known):
     # a sentence's normal form is never longer than itself, so short ones drop out before they are normalised
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
     cut = rows.select("doc_id", "row", F.posexplode(F.split(F.lower("t"), _ENDS)).alias("pos", "s")).filter(F.length("s") >= least)
+    # each step is a generator of one row, which keeps the optimizer from working it out again wherever it is used
+    one = lambda df, name, c: df.select("doc_id", "row", "pos", F.inline(F.array(F.struct(c.alias(name)))))
+    tail = one(cut, "tail", F.array_join(F.filter(F.transform(F.split("s", "\n"), flat), lambda x: x != ""), "\n"))
     # only the last characters of a piece can be a known sentence: one more than the longest has are kept, so that a cut line is too long to be one
-    lines = F.filter(F.transform(F.split("s", "\n"), flat), lambda x: x != "")
-    tail = F.array_join(lines, "\n")
-    cut = cut.select("doc_id", "row", "pos", F.split(F.when(F.length(tail) > most, F.right(tail, F.lit(most + 1))).otherwise(tail), "\n").alias("lines"))
+    lines = one(tail, "lines", F.split(F.when(F.length("tail") > most, F.right("tail", F.lit(most + 1))).otherwise(F.col("tail")), "\n"))
     ends = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.array_join(F.slice("lines", i, F.size("lines")), " "))
     ends = F.filter(ends, lambda x: F.length(x).between(least, most))
     found = F.filter(F.transform(ends, known_as), lambda x: x.isNotNull())
-    return cut.select("doc_id", "row", "pos", F.get(found, F.lit(0)).alias("sid")).filter("sid IS NOT NULL")
+    return one(lines, "sid", F.get(found, F.lit(0))).filter("sid IS NOT NULL")
 
 
 def oracle() -> str:
