@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from passages.llm.bpe import DEFAULT_VOCABULARY, encoded
-from passages.llm.storage import text_batches
+from passages.llm.storage import stored, text_batches
 from passages.llm.text import filled
 
 BLOCK = 1024
@@ -39,7 +39,8 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = DEFAULT_V
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    return sums(lengths(docs, text_col, vocabulary))
+    """``sums`` of the documents' lengths, which are stored first: the sums use them twice."""
+    return sums(stored(lengths(docs, text_col, vocabulary)))
 
 
 def sums(hist: DataFrame) -> DataFrame:
