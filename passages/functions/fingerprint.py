@@ -231,6 +231,28 @@ def hash_rows(docs: DataFrame, p: IndexParams = IndexParams(), id_col: str = "id
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, token_hash long")
 
 
+def offset_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text", punctuation: bool = False) -> DataFrame:
+    """(id_col, pos, start, end): character spans of tokens, from the first to behind the last word character of each."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            text = texts(b.column(1))
+            for x, y in batches(text):
+                part = text.slice(x, y - x)
+                data, off = as_buffers(part)
+                cls = classify(data)
+                kept = np.flatnonzero(cls != _DROP) if not punctuation else np.arange(len(data))
+                char = np.cumsum((data & 0xC0) != 0x80)  # characters up to each byte
+                before = np.concatenate([[0], char])[off[:-1]]
+                t = tokenize(part, punctuation)
+                row = np.repeat(np.arange(y - x), np.diff(t.bounds))
+                start, end = char[kept[t.starts]] - 1 - before[row], char[kept[t.ends - 1]] - before[row]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + x)), pa.array((np.arange(len(row)) - t.bounds[row]).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], [id_col, "pos", "start", "end"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, start int, end int")
+
+
 def token_offsets(document: str, punctuation: bool = False) -> list[tuple[int, int]]:
     """Character spans of one text's tokens, from the first to behind the last word character of each; one for each token of the tokenizer."""
     out = []

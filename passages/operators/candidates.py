@@ -21,13 +21,22 @@ def lookup(queries: DataFrame, postings: DataFrame) -> DataFrame:
 def match_counts(queries: DataFrame, postings: DataFrame, mode: str = "distinct") -> DataFrame:
     """(query_id, doc_id, n_shared): distinct shared fingerprints, or with mode 'bag' every pair of a query's k-gram and a posting."""
     if mode == "bag":
-        # both sides are counted before they meet: repeated fingerprints multiply instead of joining row by row
+        # both sides are counted before they meet, the index's only for fingerprints that some query has: repeated ones multiply instead of joining row by row
         q = queries.groupBy("query_id", "fp").agg(F.count("*").alias("nq"))
-        d = postings.groupBy("doc_id", "fp").agg(F.count("*").alias("nd"))
+        d = postings.join(queries.select("fp").distinct(), "fp", "left_semi").groupBy("doc_id", "fp").agg(F.count("*").alias("nd"))
         return q.join(d, "fp").groupBy("query_id", "doc_id").agg(F.sum(F.col("nq") * F.col("nd")).alias("n_shared"))
     if mode != "distinct":
         raise ValueError(f"mode must be 'distinct' or 'bag', got {mode!r}")
-    return lookup(queries, postings).select("query_id", "doc_id", "fp").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("n_shared"))
+    return _counts(shared(queries, postings))
+
+
+def shared(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, doc_id, fp), distinct."""
+    return lookup(queries, postings).select("query_id", "doc_id", "fp").distinct()
+
+
+def _counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_shared"))
 
 
 def candidates(queries: DataFrame, postings: DataFrame, min_fingerprints: int = 5, top_k: int = 50, mode: str = "distinct") -> DataFrame:
@@ -48,8 +57,9 @@ def shared_positions(queries: DataFrame, postings: DataFrame, cands: DataFrame)
 
 
 def shared_points(queries: DataFrame, postings: DataFrame, cands: DataFrame) -> DataFrame:
-    """(query_id, doc_id, rank, fp, pos_query, pos_doc, pos_offset): all pairs of places at which a query and a candidate share a fingerprint."""
+    """(query_id, doc_id, rank, fp, pos_query, pos_doc, pos_offset): all pairs of places at which a query and a candidate share a fingerprint.
+    Postings are met by fingerprint first, as the index is sorted, and only then by candidate."""
     q = queries.select("query_id", "fp", F.col("pos").alias("pos_query"))
-    wanted = cands.select("query_id", "doc_id", "rank").join(q, "query_id")
-    p = postings.select("doc_id", "fp", F.col("pos").alias("pos_doc"))
-    return wanted.join(p, ["doc_id", "fp"]).select("query_id", "doc_id", "rank", "fp", "pos_query", "pos_doc", (F.col("pos_doc") - F.col("pos_query")).alias("pos_offset"))
+    hits = lookup(queries, postings).join(cands.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"])
+    hits = hits.withColumnRenamed("pos", "pos_doc").join(q, ["query_id", "fp"])
+    return hits.select("query_id", "doc_id", "rank", "fp", "pos_query", "pos_doc", (F.col("pos_doc") - F.col("pos_query")).alias("pos_offset"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from passages.functions.fingerprint import token_offsets
+from passages.functions.fingerprint import offset_rows
 
 MODES = {"cc_largest": ("clustering", "largest"), "cc_all": ("clustering", "all"), "jaccard": ("jaccard", "largest")}
 
@@ -17,12 +16,19 @@ def cluster_order(points: DataFrame) -> DataFrame:
     return per.withColumn("place", F.row_number().over(w) - 1).drop("_first")
 
 
+def highlight(points: DataFrame, queries: DataFrame, length: int, mode: str = "cc_all") -> DataFrame:
+    """(query_id, doc_id, place, start, end): the spans of one of MODES."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, got {mode!r}")
+    return spans(positions(points, *MODES[mode]), queries, length)
+
+
 def positions(points: DataFrame, method: str = "clustering", which: str = "largest") -> DataFrame:
     """(query_id, doc_id, place, pos_query), distinct: positions to highlight by cluster place."""
     if method not in ("clustering", "jaccard"):
-        raise ValueError(f"method must be 'clustering' or 'jaccard', got {method!r}")
+        raise ValueError(f"unknown highlighting method {method!r}")
     if which not in ("largest", "all"):
-        raise ValueError(f"which must be 'largest' or 'all', got {which!r}")
+        raise ValueError(f"unknown choice of clusters {which!r}")
     if method == "jaccard":
         return points.select("query_id", "doc_id", F.lit(0).alias("place"), "pos_query").distinct()
     order = cluster_order(points)
@@ -31,12 +37,6 @@ def positions(points: DataFrame, method: str = "clustering", which: str = "large
     return points.join(order.select("query_id", "doc_id", "cluster_id", "place"), ["query_id", "doc_id", "cluster_id"]).select("query_id", "doc_id", "place", "pos_query").distinct()
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def offsets(text: pd.Series) -> pd.Series:
-    """Character spans of a text's tokens."""
-    return text.map(lambda t: [{"start": a, "end": b} for a, b in token_offsets(t or "")])
-
-
 def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """(keys, start, end): overlapping or touching intervals become one."""
     w = Window.partitionBy(*keys).orderBy(start, end)
@@ -47,14 +47,11 @@ def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end:
 
 
 def spans(pos: DataFrame, queries: DataFrame, length: int, by_cluster: bool = True) -> DataFrame:
-    """(query_id, doc_id[, place], start, end) of merged character spans; ``queries`` has query_id and text, a position covers ``length`` tokens."""
-    toks = queries.select("query_id", offsets("text").alias("o"))
+    """(query_id, doc_id[, place], start, end) of merged character spans; ``queries`` has query_id and text, a position covers ``length`` tokens (fewer at the text's end)."""
+    w = Window.partitionBy("query_id").orderBy("pos").rowsBetween(0, length - 1)
+    covers = offset_rows(queries, "query_id").select("query_id", F.col("pos").alias("pos_query"), "start", F.max("end").over(w).alias("end"))
     keys = ["query_id", "doc_id", *(["place"] if by_cluster else [])]
-    n = F.size("o")
-    raw = pos.join(toks, "query_id").filter(F.col("pos_query") < n)
-    last: Column = F.least(F.col("pos_query") + length - 1, n - 1)
-    raw = raw.select(*keys, F.element_at("o", F.col("pos_query") + 1)["start"].alias("start"), F.element_at("o", last + 1)["end"].alias("end"))
-    return merge_intervals(raw, keys)
+    return merge_intervals(pos.join(covers, ["query_id", "pos_query"]).select(*keys, "start", "end").distinct(), keys)
 
 
 def coverage(pos: DataFrame, queries: DataFrame, length: int) -> DataFrame:

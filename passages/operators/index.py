@@ -1,14 +1,19 @@
-"""The inverted index: three Parquet tables, postings(fp, doc_id, pos) sorted by fp, docs(doc_id), and stats(fp, df, n), with a one-row meta table."""
+"""The inverted index: three Parquet tables, postings(fp, doc_id, pos) sorted by fp, docs(doc_id), and stats(fp, df, n), with a one-row meta table.
+
+Fingerprints are minima of windows, so small ones are frequent: how they are distributed follows from the window's size alone, and postings are
+cut into ranges of equal weight by that formula, without a sampling pass over the texts.
+"""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections import OrderedDict
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passages.functions.fingerprint import fingerprint_rows
-from passages.params import IndexParams
+from passages.params import MODULUS, IndexParams
 
 
 @dataclass(frozen=True)
@@ -53,9 +58,10 @@ def index_stats(index: Index) -> DataFrame:
 
 
 def unique_ids(docs: DataFrame, id_col: str = "id") -> DataFrame:
-    """The documents, checked while they run: a repeated id fails the job."""
-    seen = docs.groupBy(id_col).agg(F.count("*").alias("_n"), F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
-    return seen.filter(F.assert_true(F.col("_n") == 1, F.concat(F.lit("repeated document id: "), F.col(id_col).cast("string"))).isNull()).select("_row.*")
+    """``docs``, after a look at its ids alone: a repeated one is an error."""
+    if again := duplicate_ids(docs.select(id_col), id_col).take(1):
+        raise ValueError(f"repeated document id: {again[0][0]}")
+    return docs
 
 
 def duplicate_ids(docs: DataFrame, id_col: str = "id") -> DataFrame:
@@ -63,15 +69,33 @@ def duplicate_ids(docs: DataFrame, id_col: str = "id") -> DataFrame:
     return docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def part_of(fp: str | Column, window_size: int, parts: int) -> Column:
+    """The range of a fingerprint among so many of equal weight. A k-gram whose hash is at share u of all values is the least of some window
+    of w with probability (1 + (w - 1) u)(1 - u)^(w - 1); its integral cuts the ranges."""
+    v = 1 - (F.col(fp) if isinstance(fp, str) else fp) / MODULUS
+    w = max(1, window_size)
+    mass = 1 - ((w + 1) * F.pow(v, w) - (w - 1) * F.pow(v, w + 1)) / 2
+    return F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(mass * parts))).cast("int")
+
+
+def placed(postings: DataFrame, params: IndexParams, partitions: int | None = None) -> DataFrame:
+    """(fp, doc_id, pos) in files of one range of fingerprints each, sorted: row-group statistics then stand in for a search tree."""
+    parts = partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = postings.select("fp", "doc_id", "pos")
+    return cols.repartitionById(parts, part_of("fp", params.window_size, parts)).sortWithinPartitions("fp", "doc_id", "pos")
+
+
 def write_index(postings: DataFrame, path: str, params: IndexParams, partitions: int | None = None) -> None:
-    """Range-partition by fp and sort within: row-group statistics then stand in for a search tree."""
-    placed = postings.select("fp", "doc_id", "pos")
-    placed = placed.repartitionByRange(partitions, "fp") if partitions else placed.repartitionByRange("fp")
-    placed.sortWithinPartitions("fp", "doc_id", "pos").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = postings.sparkSession.read.parquet(f"{path}/postings")
+    placed(postings, params, partitions).write.mode("overwrite").parquet(f"{path}/postings")
+    finish(postings.sparkSession, path, params)
+
+
+def finish(spark: SparkSession, path: str, params: IndexParams) -> None:
+    """The tables that follow from the stored postings."""
+    stored = spark.read.parquet(f"{path}/postings").select("fp", "doc_id", "pos")
     stored.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/docs")
-    fingerprint_stats(stored).repartitionByRange("fp").sortWithinPartitions("fp").write.mode("overwrite").parquet(f"{path}/stats")
-    meta = postings.sparkSession.createDataFrame([(json.dumps(params.as_dict()),)], "params string")
+    fingerprint_stats(stored).sortWithinPartitions("fp").write.mode("overwrite").parquet(f"{path}/stats")
+    meta = spark.createDataFrame([(json.dumps(params.as_dict()),)], "params string")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -81,7 +105,20 @@ def read_params(spark: SparkSession, path: str) -> IndexParams:
 
 def read_index(spark: SparkSession, path: str) -> Index:
     read = lambda t: spark.read.parquet(f"{path}/{t}")
-    return Index(read_params(spark, path), read("postings"), read("docs"), read("stats"))
+    return Index(read_params(spark, path), read("postings").select("fp", "doc_id", "pos"), read("docs"), read("stats"))
+
+
+def index_dirs(spark: SparkSession, folder: str) -> list[str]:
+    """The indexes in a folder, by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    inside = [str(x.getPath()) for x in fs.listStatus(path) if x.isDirectory()]
+    return sorted(p for p in inside if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/meta")))
+
+
+def merge_folder(spark: SparkSession, folder: str, out: str, partitions: int | None = None) -> None:
+    """``merge_indexes`` of all that a folder holds."""
+    merge_indexes(spark, index_dirs(spark, folder), out, partitions)
 
 
 def merge_indexes(spark: SparkSession, paths: list[str], out: str, partitions: int | None = None) -> None:
@@ -110,12 +147,53 @@ def nested_postings(postings: DataFrame) -> DataFrame:
     return postings.groupBy(F.col("fp").alias("fingerprint")).agg(F.sort_array(F.collect_list(entry)).alias("postings"))
 
 
-def write_json_index(postings: DataFrame, path: str) -> None:
-    """Gzipped JSON lines, sorted by fingerprint in each file."""
-    nested_postings(postings).repartitionByRange("fingerprint").sortWithinPartitions("fingerprint").write.mode("overwrite").option("compression", "gzip").json(path)
+def write_json_index(postings: DataFrame, path: str, params: IndexParams = IndexParams()) -> None:
+    """Gzipped JSON lines, sorted by fingerprint in each file, and a file with the header: parameters and the number of fingerprints."""
+    lines = nested_postings(postings)
+    lines.repartitionById(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), part_of("fingerprint", params.window_size, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))).sortWithinPartitions("fingerprint").write.mode("overwrite").option("compression", "gzip").json(f"{path}/lines")
+    p = params
+    count = postings.sparkSession.read.text(f"{path}/lines").agg(F.count("*").alias("num_fingerprints"))
+    head = count.select(*[F.lit(v).alias(k) for k, v in p.as_dict().items()], "num_fingerprints")
+    head.coalesce(1).write.mode("overwrite").option("compression", "gzip").json(f"{path}/header")
+
+
+def read_json_header(spark: SparkSession, path: str) -> DataFrame:
+    """One row: length, window_size, base, punctuation, num_fingerprints; no posting is read."""
+    return spark.read.schema("length int, window_size int, base int, punctuation boolean, num_fingerprints long").json(f"{path}/header")
 
 
 def read_json_index(spark: SparkSession, path: str) -> DataFrame:
-    """Postings from JSON lines; header lines and broken ones are skipped."""
-    rows = spark.read.schema("fingerprint long, postings array<struct<doc_id: string, position: int>>").option("mode", "DROPMALFORMED").json(path)
+    """Postings from JSON lines; broken ones are skipped."""
+    rows = spark.read.schema("fingerprint long, postings array<struct<doc_id: string, position: int>>").option("mode", "DROPMALFORMED").json(f"{path}/lines")
     return rows.filter("fingerprint IS NOT NULL").select(F.col("fingerprint").alias("fp"), F.inline("postings")).select("doc_id", F.col("position").alias("pos"), "fp")
+
+
+class IndexManager:
+    """Open indexes of a session by path, the last used ones first; what is beyond ``most`` is let go."""
+
+    def __init__(self, spark: SparkSession, most: int = 1):
+        self.spark, self.most, self._open = spark, most, OrderedDict()
+
+    def open(self, path: str) -> Index:
+        """The stored index, with its document count read once."""
+        if path not in self._open:
+            index = read_index(self.spark, path)
+            self._open[path] = replace(index, docs=index.docs.cache())
+        self._open.move_to_end(path)
+        while len(self._open) > self.most:
+            self._open.popitem(last=False)[1].docs.unpersist()
+        return self._open[path]
+
+    def of(self, docs: DataFrame, path: str, params: IndexParams = IndexParams(), id_col: str = "id", text_col: str = "text") -> Index:
+        """The index at the path, built of ``docs`` if there is none."""
+        meta = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+        if not meta.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(meta):
+            write_index(build_postings(docs, params, id_col, text_col), path, params)
+        return self.open(path)
+
+    def close(self) -> None:
+        while self._open:
+            self._open.popitem()[1].docs.unpersist()
+
+    def __len__(self) -> int:
+        return len(self._open)

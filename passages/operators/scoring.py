@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from passages.functions.normal import normal_cdf
-from passages.operators.candidates import candidates, shared_points
+from passages.operators.candidates import candidates, query_fingerprints, shared, shared_points
 from passages.operators.cluster import cluster_points
 from passages.operators.index import Index, index_stats
 from passages.params import CHARS_PER_WORD, ScoreParams
@@ -28,8 +28,7 @@ def weights(index: Index, rarity_weighted: bool) -> DataFrame | None:
 
 def _shared(queries: DataFrame, index: Index, cands: DataFrame) -> DataFrame:
     """(query_id, doc_id, rank, fp), distinct."""
-    wanted = cands.select("query_id", "doc_id", "rank").join(queries.select("query_id", "fp").distinct(), "query_id")
-    return wanted.join(index.postings.select("doc_id", "fp").distinct(), ["doc_id", "fp"])
+    return shared(queries, index.postings).join(cands.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"])
 
 
 def score_shared(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(), rarity_weighted: bool = False) -> DataFrame:
@@ -42,9 +41,9 @@ def score_shared(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(
     return joined.groupBy("query_id", "doc_id", "rank").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("raw_score"))
 
 
-def count_scores(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams()) -> DataFrame:
+def count_scores(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(), cands: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank, num_shared, rarity_sum): unnormalised rarities."""
-    cands = candidates(queries, index.postings, p.min_fingerprints, p.top_k)
+    cands = cands if cands is not None else candidates(queries, index.postings, p.min_fingerprints, p.top_k)
     joined = _shared(queries, index, cands).join(rarity(index), "fp", "left")
     return joined.groupBy("query_id", "doc_id", "rank").agg(F.count("*").alias("num_shared"), F.sum(F.coalesce("rarity", F.lit(0.0))).alias("rarity_sum"))
 
@@ -67,11 +66,11 @@ def score_chains(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(
 
 def cluster_metrics(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams()) -> DataFrame:
     """(query_id, doc_id, rank, num_shared, rarity_sum, num_in_largest, rarity_in_rarest): the last two may be of different clusters."""
-    _, points = chains(queries, index, p)
+    cands, points = chains(queries, index, p)
     distinct = points.filter("cluster_id >= 0").select("query_id", "doc_id", "cluster_id", "fp").distinct().join(rarity(index), "fp", "left")
     per = distinct.groupBy("query_id", "doc_id", "cluster_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("rarity", F.lit(0.0))).alias("r"))
     best = per.groupBy("query_id", "doc_id").agg(F.max("n").alias("num_in_largest"), F.max("r").alias("rarity_in_rarest"))
-    return count_scores(queries, index, p).join(best, ["query_id", "doc_id"], "left").fillna({"num_in_largest": 0, "rarity_in_rarest": 0.0})
+    return count_scores(queries, index, p, cands).join(best, ["query_id", "doc_id"], "left").fillna({"num_in_largest": 0, "rarity_in_rarest": 0.0})
 
 
 def with_probability(scores: DataFrame, window_size: int, min_fragment_length: float = 1000.0, score_col: str = "raw_score") -> DataFrame:
@@ -80,6 +79,26 @@ def with_probability(scores: DataFrame, window_size: int, min_fragment_length: f
     return scores.withColumn("probability", normal_cdf((F.col(score_col) - n0) / math.sqrt(n0)))
 
 
+def detect(texts: DataFrame, index: Index, p: ScoreParams = ScoreParams(), detector: str = "chain", rarity_weighted: bool = False, metadata: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, rank, raw_score, probability, short_query[, metadata]) in one call, of texts (query_id, text); ``short_query`` says that the text is
+    shorter than the fragment that the probability is about."""
+    if detector not in DETECTORS:
+        raise ValueError(f"detector must be one of {', '.join(DETECTORS)}, got {detector!r}")
+    scores = DETECTORS[detector](query_fingerprints(texts, index.params), index, p, rarity_weighted)
+    out = with_probability(scores, index.params.window_size, p.min_fragment_length)
+    out = out.join(texts.select("query_id", (F.length("text") < p.min_fragment_length).alias("short_query")), "query_id")
+    return out if metadata is None else out.join(metadata, "doc_id", "left")
+
+
+#: Scores by name.
+DETECTORS = {"shared": score_shared, "chain": score_chains}
+
+
+def ndjson(rows: DataFrame) -> DataFrame:
+    """(line): each row as JSON; ``toLocalIterator`` then streams them as they are ready."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
 def best_of(*scores: DataFrame) -> DataFrame:
     """(query_id, doc_id, best): the best raw score of each pair over several scorings, positive ones only."""
     every = scores[0].select("query_id", "doc_id", "raw_score")

@@ -5,14 +5,18 @@ The corpus is ``documents``; query texts are ``benchmark``, or the documents the
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passages.functions import fingerprint as fp
 from passages.operators import align, candidates as cand, highlight as hl, index as ix, metadata as md, perturb as pt, scoring as sc
-from passages.operators.cluster import cluster_points
 from passages.params import METHODS, WEB, IndexParams, ScoreParams
 from passages.plans import sql as S
 from passages.sources import corpus
+from passages.storage import shared_folder
+from passages.streaming.indexing import index_stream
 
 INDEX = IndexParams()
 SCORE = ScoreParams()
@@ -41,8 +45,15 @@ def _docs(spark, d):
     return _read(spark, d, "documents")
 
 
+_managers: dict[str, ix.IndexManager] = {}
+
+
 def _index(spark, d) -> ix.Index:
-    return ix.in_memory(_docs(spark, d), INDEX, "doc_id")
+    """The stored index of the documents: built by the session's first query that needs it, then read by all."""
+    app = spark.sparkContext.applicationId
+    manager = _managers.setdefault(app, ix.IndexManager(spark, most=2))
+    name = hashlib.md5(f"{app} {d}".encode()).hexdigest()
+    return manager.of(_docs(spark, d), f"{shared_folder(spark)}/index-{name}", INDEX, "doc_id")
 
 
 def _items(spark, d) -> DataFrame:
@@ -406,7 +417,8 @@ def align_regions(spark, d):
 
 @query()
 def positive_pairs(spark, d):
-    return pt.positive_pairs(_docs(spark, d), least_score=300, attempts=30, id_col="doc_id")
+    """Pairs of all documents that have a chunk to edit, by the operator's own defaults."""
+    return pt.positive_pairs(_docs(spark, d), id_col="doc_id")
 
 
 @query()
@@ -414,8 +426,199 @@ def negative_pairs(spark, d):
     return pt.negative_pairs(_read(spark, d, "benchmark"), least_score=100, attempts=20, id_col="item_id")
 
 
-def chain_query(queries: DataFrame, docs: DataFrame, p: ScoreParams = WEB) -> DataFrame:
-    """Points and clusters for other callers."""
-    q = cand.query_fingerprints(queries, INDEX)
-    post = ix.build_postings(docs, INDEX, "doc_id")
-    return cluster_points(cand.shared_points(q, post, cand.candidates(q, post, p.min_fingerprints, p.top_k)), p)
+# -- the same tables by way of files, streams and one-call functions
+
+
+def _scratch(spark, d, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, source, n_chars FROM documents")
+def jsonl_scan(spark, d):
+    """Documents written as gzipped JSON lines, with columns that are dropped again, and read."""
+    path = _scratch(spark, d, "corpus") + ".jsonl.gz"
+    corpus.copy_to(_docs(spark, d).withColumns({n: F.lit("x") for n in corpus.NOISE}), path)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in _docs(spark, d).schema), *(f"`{n}` string" for n in corpus.NOISE)])
+    return corpus.normalise(corpus.read_corpus(spark, path, fields))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, length(text) AS n FROM documents WHERE length(text) BETWEEN 500 AND 9000 AND NOT list_has_any(regexp_split_to_array(text, '{_SPACE}'), ['sex', 'porn'])")
+def streamed_to_file(spark, d):
+    """Read from JSON lines, cleaned, written and read again."""
+    source, target = (_scratch(spark, d, n) + ".jsonl" for n in ("source", "target"))
+    corpus.copy_to(_docs(spark, d), source)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _docs(spark, d).schema)
+    corpus.stream_to_file(spark, source, target, min_length=500, max_length=9000, schema=schema)
+    return corpus.read_corpus(spark, target, "id string, text string").select("id", F.length("text").alias("n"))
+
+
+@query("SELECT count(*) AS corrupt FROM (SELECT unnest(['{\"id\": 1', 'x', '[1']))")
+def corrupt_lines(spark, d):
+    path = _scratch(spark, d, "lines") + ".jsonl"
+    lines = _docs(spark, d).select(F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("value"))
+    lines.unionByName(spark.createDataFrame([('{"id": 1',), ("x",), ("[1",), ("",), (" ",)], "value string")).write.text(path)
+    return corpus.corrupt_lines(spark, path, "id long, text string")
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return ix.duplicate_ids(_read(spark, d, "conversations"), "conv_id").withColumnRenamed("id", "conv_id")
+
+
+@query(_with(*_BASE, select="SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos, fp FROM post"))
+def json_index(spark, d):
+    path = _scratch(spark, d, "json")
+    ix.write_json_index(_index(spark, d).postings, path, INDEX)
+    return ix.read_json_index(spark, path)
+
+
+@query(_with(*_BASE, select=f"SELECT CAST({INDEX.length} AS INTEGER) AS length, CAST({INDEX.window_size} AS INTEGER) AS window_size, CAST({INDEX.base} AS INTEGER) AS base, false AS punctuation, count(DISTINCT fp) AS num_fingerprints FROM post"))
+def json_index_header(spark, d):
+    path = _scratch(spark, d, "json")
+    ix.write_json_index(_index(spark, d).postings, path, INDEX)
+    return ix.read_json_header(spark, path)
+
+
+@query(_with(*_BASE, select="SELECT doc_id, pos, fp FROM post"))
+def merged_index(spark, d):
+    """Two indexes in one folder, of halves of the documents, made one."""
+    folder, out = _scratch(spark, d, "halves"), _scratch(spark, d, "merged")
+    for k in (0, 1):
+        half = _docs(spark, d).filter(F.pmod("doc_id", F.lit(2)) == k)
+        ix.write_index(ix.build_postings(half, INDEX, "doc_id"), f"{folder}/{k}", INDEX)
+    ix.merge_folder(spark, folder, out)
+    return ix.read_index(spark, out).postings
+
+
+@query(_with(*_BASE, select="SELECT fp, count(DISTINCT doc_id) AS df, count(*) AS n FROM post GROUP BY fp"))
+def streamed_index(spark, d):
+    """Documents that come as a stream, indexed batch by batch."""
+    path = _scratch(spark, d, "streamed")
+    docs = _docs(spark, d)
+    rows = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    index_stream(rows, path, f"{path}-checkpoint", INDEX, "doc_id", once=True).awaitTermination()
+    ix.finish(spark, path, INDEX)
+    return ix.read_index(spark, path).stats.select("fp", "df", "n")
+
+
+_JAC = "hp AS (SELECT DISTINCT query_id, doc_id, 0 AS place, pos_query FROM pts)"
+_BEST = "hp AS (SELECT DISTINCT query_id, doc_id, place, pos_query FROM cl JOIN ord USING (query_id, doc_id, cluster_id) WHERE place = 0)"
+_SPANS = (_OFFSETS, _merged("hp.query_id, doc_id, place").replace("PARTITION BY hp.query_id", "PARTITION BY query_id"))
+_SPAN_ROWS = 'SELECT query_id, doc_id, place, CAST(min(s) AS INTEGER) AS "start", CAST(max(e) AS INTEGER) AS "end" FROM isl GROUP BY query_id, doc_id, place, island'
+
+
+@query(_with(*_PTS, _JAC, *_SPANS, select=_SPAN_ROWS))
+def highlight_jaccard(spark, d):
+    _, points = sc.chains(_q(spark, d), _index(spark, d))
+    return hl.highlight(points, _items(spark, d), INDEX.length, "jaccard")
+
+
+@query(_with(*_PTS, S.clusters(), _ORDER, _BEST, *_SPANS, select=_SPAN_ROWS))
+def highlight_largest(spark, d):
+    _, points = sc.chains(_q(spark, d), _index(spark, d))
+    return hl.highlight(points, _items(spark, d), INDEX.length, "cc_largest")
+
+
+@query(_with(S.tokens("xt", "benchmark", "item_id"), _OFFSETS, select='SELECT query_id AS item_id, pos, CAST(a AS INTEGER) AS "start", CAST(b AS INTEGER) AS "end" FROM tk'))
+def token_spans(spark, d):
+    return fp.offset_rows(_read(spark, d, "benchmark"), "item_id")
+
+
+_WEB_CAND = S.CANDIDATES.replace("rank <= 50", f"rank <= {WEB.top_k}")
+
+
+@query(_with(*_BASE, _WEB_CAND, S.POINTS, S.clusters(offset=WEB.offset_threshold), S.CHAINS, select="SELECT query_id, doc_id, rank, raw_score FROM chain"))
+def web_chain_scores(spark, d):
+    """Chains with the preset of the web form."""
+    return sc.score_chains(_q(spark, d), _index(spark, d), WEB)
+
+
+@query(_with(*_PTS, S.clusters(), S.CHAINS, select=f"SELECT p.*, length(text) < {FRAGMENT} AS short_query, lang, source FROM ({_prob('SELECT * FROM chain')}) p JOIN (SELECT item_id AS query_id, text FROM benchmark) USING (query_id) LEFT JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)"))
+def detect(spark, d):
+    p = ScoreParams(min_fragment_length=FRAGMENT)
+    out = sc.detect(_items(spark, d), _index(spark, d), p, metadata=_docs(spark, d).select("doc_id", "lang", "source"))
+    return out.withColumn("raw_score", F.round("raw_score", 6)).withColumn("probability", F.round("probability", 6))
+
+
+@query(_with(*_CAND, select="""SELECT '{"query_id":' || query_id || ',"doc_id":' || doc_id || ',"n_shared":' || n_shared || ',"rank":' || rank || '}' AS line FROM cand"""))
+def ndjson_lines(spark, d):
+    return sc.ndjson(cand.candidates(_q(spark, d), _index(spark, d).postings).select("query_id", "doc_id", "n_shared", "rank"))
+
+
+_MARK = "concat('# ', lang, '  ', source, chr(10), 'part', chr(10), chr(10), '## Abstract', chr(10), chr(10), text)"
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, lang || ' ' || source || ' part' AS title, list_transform(regexp_split_to_array(text, '\r\n?|\n'), lambda x: regexp_replace(x, '^[ \t]+|[ \t]+$', '', 'g')) AS a FROM documents),
+f AS (SELECT *, a[list_position(list_transform(a, lambda x: x <> ''), true):] AS r FROM l WHERE list_contains(list_transform(a, lambda x: x <> ''), true)),
+e AS (SELECT *, coalesce(nullif(list_position(list_transform(r, lambda x: x = '' OR starts_with(x, '#')), true), 0) - 1, len(r)) AS k FROM f)
+SELECT l.doc_id, l.title, nullif(trim(regexp_replace(array_to_string(e.r[1:e.k], ' '), '[ \t]+', ' ', 'g'))[1:1600], '') AS abstract FROM l LEFT JOIN e USING (doc_id)"""
+)
+def markdown_parts(spark, d):
+    text = F.concat(F.lit("# "), F.col("lang"), F.lit("  "), F.col("source"), F.lit("\npart\n\n## Abstract\n\n"), F.col("text"))
+    return _docs(spark, d).select("doc_id", text.alias("t")).select("doc_id", md.heading("t").alias("title"), md.abstract("t").alias("abstract"))
+
+
+@query("SELECT p_partkey, 'https://en.wikipedia.org/wiki/' || replace(replace(p_name || ' & co (#' || p_partkey || ')', ' ', '_'), '#', '%23') AS wiki, 'https://example.org/part/' || p_partkey || '.html' AS page FROM part")
+def page_links(spark, d):
+    title = F.concat("p_name", F.lit(" & co (#"), F.col("p_partkey").cast("string"), F.lit(")"))
+    return _read(spark, d, "part").select("p_partkey", md.wiki_url(title).alias("wiki"), md.doc_url("https://example.org/part/{doc_id}.html", "p_partkey").alias("page"))
+
+
+@query(f"SELECT CAST(page_id AS VARCHAR) AS id, url AS u, {_HOST} AS host, 'https://web.archive.org/web/20240102030405/' || url AS link FROM pages WHERE url <> '' AND page_id IN (SELECT doc_id FROM labels)")
+def sidecar(spark, d):
+    """A side table of the pages that are labelled, built in two shards, merged and read."""
+    pages = _read(spark, d, "pages").select("page_id", "url", F.lit("2024-01-02T03:04:05Z").alias("t"))
+    only = _read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    base = _scratch(spark, d, "sidecar")
+    shards = [f"{base}/{k}" for k in (0, 1)]
+    for k, path in enumerate(shards):
+        md.build_sidecar(pages.filter(F.pmod("page_id", F.lit(2)) == k), path, only, id_col="page_id", url_col="url", time_col="t")
+    merged = md.merge_sidecars(spark, shards, f"{base}/all")
+    corpus.write_sidecar(merged, f"{base}/json")
+    return corpus.read_sidecar(spark, f"{base}/json", "id string, u string, host string, link string")
+
+
+@query(r"SELECT item_id, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS place FROM (SELECT item_id, list_filter(regexp_extract_all(text, '[^.!?]*[.!?]+(?:\s+|$)|[^.!?]+$'), lambda x: trim(x) <> '') AS s FROM benchmark)")
+def sentence_rows(spark, d):
+    return _read(spark, d, "benchmark").select("item_id", F.posexplode(pt.sentences_column("text")).alias("place", "sentence"))
+
+
+def _fold(mark: str, joined: str) -> str:
+    return rf"""WITH RECURSIVE s AS (SELECT item_id, list_filter(string_split(regexp_replace(text, '([{mark}]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: true) AS p FROM benchmark),
+w AS (SELECT item_id, p, 0 AS i, CAST(NULL AS VARCHAR) AS now, CAST([] AS VARCHAR[]) AS done FROM s UNION ALL SELECT item_id, p, i + 1, {joined} FROM w WHERE i < len(p)),
+r AS (SELECT item_id, list_append(done, now) AS c FROM w WHERE i = len(p))
+SELECT item_id, unnest(c) AS chunk, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS place FROM r"""
+
+
+@query(_fold(r".!?\n", "CASE WHEN now IS NULL THEN p[i + 1] WHEN length(now || ' ' || p[i + 1]) > 120 THEN p[i + 1] ELSE now || ' ' || p[i + 1] END, CASE WHEN length(now || ' ' || p[i + 1]) > 120 THEN list_append(done, trim(now)) ELSE done END"))
+def chunk_rows(spark, d):
+    """Chunks of up to 120 characters of the benchmark's texts."""
+    return _read(spark, d, "benchmark").select("item_id", F.posexplode(pt.chunks_column("text", 120)).alias("place", "chunk"))
+
+
+_GAP = "CASE WHEN c IN (' ', chr(9), chr(10), chr(13)) THEN 0.1 WHEN contains('-—–', c) THEN 0.2 WHEN contains('.,!?;:', c) THEN 0.3 WHEN contains('@#$%^&*()_+=/\\|<>', c) THEN 0.5 ELSE 1.0 END".replace("\\\\", "\\")
+_SUB = "CASE WHEN a = b THEN 0.0 WHEN a = ' ' AND b = ' ' THEN 0.1 WHEN contains('-—–', a) AND contains('-—–', b) OR lower(a) = lower(b) THEN 0.2 WHEN contains('.,!?;:', a) AND contains('.,!?;:', b) THEN 0.3 WHEN contains('@#$%^&*()_+=/\\|<>', a) AND contains('@#$%^&*()_+=/\\|<>', b) THEN 0.5 ELSE 1.0 END".replace("\\\\", "\\")
+#: The table of a pair's scores, a row of cells at a time: each from the row above and, along the row, from the cell before.
+_DP = f"""WITH RECURSIVE names AS (SELECT 'n' || n_nationkey AS k, n_name || '.' AS t FROM nation UNION ALL SELECT 'r' || r_regionkey, lower(r_name) || ' -' FROM region),
+ch AS (SELECT DISTINCT unnest(string_split(t, '')) AS c FROM names), gap AS (SELECT c, CAST({_GAP} AS FLOAT) AS g FROM ch),
+sub AS (SELECT x.c AS a, y.c AS b, CAST({_SUB.replace(" a ", " x.c ").replace("(a)", "(x.c)").replace(", a)", ", x.c)").replace(" b ", " y.c ").replace("(b)", "(y.c)").replace(", b)", ", y.c)")} AS FLOAT) AS s FROM ch x, ch y),
+pr AS (SELECT x.k AS k1, y.k AS k2, x.t AS s, y.t AS t FROM names x JOIN names y ON x.k <> y.k),
+cell AS (SELECT k1, k2, s, t, 0 AS i, 0 AS j, CAST(0 AS FLOAT) AS h, list_transform(range(0, length(t) + 1), lambda q: CAST(0 AS FLOAT)) AS up, [CAST(0 AS FLOAT)] AS now, CAST(0 AS FLOAT) AS best, 0 AS bi, 0 AS bj FROM pr
+ UNION ALL SELECT k1, k2, s, t, i2, j2, h2, CASE WHEN j2 = length(t) THEN list_append(now2, h2) ELSE up2 END, CASE WHEN j2 = length(t) THEN [CAST(0 AS FLOAT)] ELSE list_append(now2, h2) END,
+  CASE WHEN h2 > best THEN h2 ELSE best END, CASE WHEN h2 > best THEN i2 ELSE bi END, CASE WHEN h2 > best THEN j2 ELSE bj END FROM (
+  SELECT c.*, c.up AS up2, c.now AS now2, CASE WHEN j = length(t) OR i = 0 THEN i + 1 ELSE i END AS i2, CASE WHEN j = length(t) OR i = 0 THEN 1 ELSE j + 1 END AS j2,
+   greatest(CAST(0 AS FLOAT), CASE WHEN s[i2] = t[j2] THEN up[j2] + CAST(1 AS FLOAT) ELSE up[j2] - sub.s2 END, up[j2 + 1] - g1.g, now[j2] - g2.g) AS h2
+  FROM cell c JOIN (SELECT a, b, s AS s2 FROM sub) sub ON sub.a = s[CASE WHEN j = length(t) OR i = 0 THEN i + 1 ELSE i END] AND sub.b = t[CASE WHEN j = length(t) OR i = 0 THEN 1 ELSE j + 1 END]
+  JOIN gap g1 ON g1.c = sub.a JOIN gap g2 ON g2.c = sub.b WHERE NOT (i = length(s) AND j = length(t))))
+SELECT k1, k2, round(best, 4) AS score, CASE WHEN best > 0 THEN bi ELSE 0 END AS end1, CASE WHEN best > 0 THEN bj ELSE 0 END AS end2 FROM cell WHERE i = length(s) AND j = length(t)"""
+
+
+@query(_DP)
+def alignment_scores(spark, d):
+    """The best local alignment of every two names: its score and where it ends."""
+    n = _read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("k"), F.concat("n_name", F.lit(".")).alias("t"))
+    n = n.unionByName(_read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("k"), F.concat(F.lower("r_name"), F.lit(" -")).alias("t")))
+    x, y = n.toDF("k1", "text1"), n.toDF("k2", "text2")
+    r = align.align_pairs(x.join(y, F.col("k1") != F.col("k2")), align.AlignParams(min_region=0)).withColumn("r", F.get("regions", F.lit(0)))
+    return r.select("k1", "k2", F.round(F.coalesce("r.score", F.lit(0.0)), 4).alias("score"), F.coalesce("r.end1", F.lit(0)).alias("end1"), F.coalesce("r.end2", F.lit(0)).alias("end2"))

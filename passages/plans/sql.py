@@ -56,9 +56,9 @@ mean AS (SELECT 1 - avg(n) / any_value(nd) AS mean FROM rar, nd)"""
 POINTS = """pts AS (SELECT query_id, doc_id, rank, q.fp AS fp, q.pos AS pos_query, post.pos AS pos_doc, post.pos - q.pos AS pos_offset FROM cand JOIN q USING (query_id) JOIN post USING (doc_id, fp))"""
 
 
-def clusters(method: str = "rectangle", t: int = 30, least: int = 5) -> str:
+def clusters(method: str = "rectangle", t: int = 30, least: int = 5, offset: int | None = None) -> str:
     near = {
-        "rectangle": f"abs(a.pos_query - b.pos_query) <= {t} AND abs(a.pos_offset - b.pos_offset) <= {t}",
+        "rectangle": f"abs(a.pos_query - b.pos_query) <= {t} AND abs(a.pos_offset - b.pos_offset) <= {t if offset is None else offset}",
         "chebyshev": f"greatest(abs(a.pos_query - b.pos_query), abs(a.pos_offset - b.pos_offset)) <= {t}",
         "cityblock": f"abs(a.pos_query - b.pos_query) + abs(a.pos_offset - b.pos_offset) <= {t}",
         "euclidean": f"(a.pos_query - b.pos_query) * (a.pos_query - b.pos_query) + (a.pos_offset - b.pos_offset) * (a.pos_offset - b.pos_offset) <= {t * t}",
@@ -73,7 +73,3 @@ cl AS (SELECT pn.* EXCLUDE (i), coalesce(cluster_id, -1) AS cluster_id FROM pn J
 
 CHAINS = "chain AS (SELECT query_id, doc_id, rank, coalesce(max(s), 0) AS raw_score FROM cand LEFT JOIN (SELECT query_id, doc_id, cluster_id, CAST(count(DISTINCT fp) AS DOUBLE) AS s FROM cl WHERE cluster_id >= 0 GROUP BY ALL) USING (query_id, doc_id) GROUP BY ALL)"
 
-
-def phi(x: str) -> str:
-    """The normal distribution function, by the series over odd factorials (the argument is cut at 8 either way)."""
-    return f"(SELECT round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_reduce(list_transform(range(0, 200), lambda n: 0.0), lambda a, b: a), 6) FROM (SELECT greatest(-8, least(8, {x})) AS z))"

@@ -25,9 +25,10 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | Non
 
 
 def corrupt_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row: lines that aren't JSON of the schema."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.select("*").filter("_corrupt_record IS NOT NULL").agg(F.count("*").alias("corrupt"))
+    """One row: lines that aren't JSON of the schema; blank ones don't count."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    row = F.from_json("value", F.lit(f"{schema}, _corrupt_record string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(row["_corrupt_record"].alias("c")).filter("c IS NOT NULL").agg(F.count("*").alias("corrupt"))
 
 
 def normalise(df: DataFrame, text_field: str | None = None, id_field: str | None = None) -> DataFrame:
@@ -55,9 +56,12 @@ def thin(df: DataFrame, skip_prob: float = 0.0, seed: int = 0) -> DataFrame:
     return df.sample(fraction=1 - skip_prob, seed=seed) if skip_prob else df
 
 
-def stream(spark: SparkSession, path: str, min_length: int = 2000, skip_prob: float = 0.0, max_length: int = 100_000, max_nb: int | None = None, schema=None, seed: int = 0) -> DataFrame:
-    """Read, thin, normalise, clean and limit, in this order; which rows a limit keeps isn't defined."""
-    df = clean(normalise(thin(read_corpus(spark, path, schema), skip_prob, seed)), min_length, max_length)
+def stream(spark: SparkSession, path: str, min_length: int = 2000, skip_prob: float = 0.0, max_length: int = 100_000, max_nb: int | None = None, schema=None, seed: int = 0, unique: bool = False) -> DataFrame:
+    """Read, thin, normalise, clean and limit, in this order; which rows a limit keeps isn't defined. With ``unique``, a repeated id is an error (found from the ids alone)."""
+    df = normalise(thin(read_corpus(spark, path, schema), skip_prob, seed))
+    if unique and (again := df.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").take(1)):
+        raise ValueError(f"repeated document id: {again[0][0]}")
+    df = clean(df, min_length, max_length)
     return df.limit(max_nb) if max_nb is not None else df
 
 

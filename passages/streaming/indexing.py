@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from passages.operators.index import build_postings
+from passages.operators.index import build_postings, placed
 from passages.params import IndexParams
 
 
@@ -15,10 +15,11 @@ def distinct_documents(docs: DataFrame, id_col: str = "id", time_col: str = "ts"
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, params: IndexParams = IndexParams(), id_col: str = "id", text_col: str = "text", once: bool = False) -> StreamingQuery:
-    """Append each batch's postings; fingerprinting keeps no state. A batch that is run again replaces its own folder, so retries don't double postings."""
+    """Append each batch's postings under ``path``/postings; fingerprinting keeps no state. A batch that is run again replaces its own folder, so retries don't double postings.
+    ``finish`` (of ``passages.operators.index``) then makes an index of them that ``read_index`` opens; it may be run again as batches come in."""
 
     def append(batch: DataFrame, number: int) -> None:
-        build_postings(batch, params, id_col, text_col).withColumn("batch", F.lit(number)).repartitionByRange("fp").sortWithinPartitions("fp").drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        placed(build_postings(batch, params, id_col, text_col), params).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     writer = docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -39,12 +39,14 @@ def test_store_and_merge(spark, docs, tmp_path):
         ix.merge_indexes(spark, [f"{tmp_path}/0", f"{tmp_path}/5"], f"{tmp_path}/x")
     ix.write_json_index(whole, f"{tmp_path}/json")
     assert rows(ix.read_json_index(spark, f"{tmp_path}/json")) == rows(whole)
+    head = ix.read_json_header(spark, f"{tmp_path}/json").first()
+    assert (head["length"], head["window_size"], head["punctuation"], head["num_fingerprints"]) == (4, 6, False, whole.select("fp").distinct().count())
 
 
 def test_unique_ids(spark):
     ok = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
     assert ix.unique_ids(ok).count() == 2
-    with pytest.raises(Exception, match="repeated document id"):
+    with pytest.raises(ValueError, match="repeated document id"):
         ix.unique_ids(ok.union(ok)).count()
 
 
@@ -80,7 +82,29 @@ def test_sources(spark, tmp_path):
 def test_stream(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/in")
     index_stream(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/post", f"{tmp_path}/ck", once=True).awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/post")) == rows(ix.build_postings(docs))
+    assert rows(spark.read.parquet(f"{tmp_path}/post/postings")) == rows(ix.build_postings(docs))
+    ix.finish(spark, f"{tmp_path}/post", IndexParams())
+    back = ix.read_index(spark, f"{tmp_path}/post")
+    assert rows(back.postings) == rows(ix.build_postings(docs)) and back.params == IndexParams()
+    assert sorted(map(tuple, back.stats.collect())) == sorted(map(tuple, ix.in_memory(docs).stats.collect()))
+
+
+def test_manager(spark, docs, tmp_path):
+    m = ix.IndexManager(spark, most=1)
+    for k in ("a", "b", "a"):
+        index = m.of(docs, f"{tmp_path}/{k}")
+        assert len(m) == 1 and index.docs.count() == docs.filter(F.length("text") > 0).select("id").join(index.docs, index.docs.doc_id == docs.id).count()
+    m.close()
+    assert len(m) == 0
+
+
+def test_ranges_of_equal_weight(spark, sf):
+    """Ranges by formula hold about as many postings each, for any window."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    for w in (1, 6, 20):
+        post = ix.build_postings(docs, IndexParams(window_size=w), "doc_id")
+        n = [r["count"] for r in post.select("fp").distinct().groupBy(ix.part_of("fp", w, 8).alias("part")).count().collect()]
+        assert len(n) == 8 and max(n) < 1.5 * min(n)
 
 
 def test_shuffle_breaks_chains(spark, docs):
@@ -100,9 +124,9 @@ def test_intervals(spark):
 
 
 def test_metadata_functions(spark):
-    assert md.first_heading("x\n# A  title\nmore\n\nbody") == "A title more"
-    assert md.first_heading("none") is None
-    assert md.abstract("## Abstract\n\none\ntwo\n\nthree") == "one two"
+    texts = [("x\n# A  title\nmore\n\nbody",), ("none",), ("## Abstract\n\none\ntwo\n\nthree",), (None,), ("#\tB\r\n#c\n# abstract",)]
+    got = spark.createDataFrame(texts, "t string").select(md.heading("t").alias("h"), md.abstract("t").alias("a")).collect()
+    assert [tuple(r) for r in got] == [("A title more", None), (None, None), (None, "one two"), (None, None), ("B", None)]
     df = spark.createDataFrame([("http://WWW.Ex.org:80/a", "2020-01-02T03:04:05Z", "A b (c)"), ("::bad", None, None)], "u string, ts string, t string")
     a, b = df.select(md.host("u").alias("h"), md.wayback_url("u", "ts").alias("w"), md.wiki_url("t").alias("t")).collect()
     assert a["h"] == "ex.org" and a["w"] == "https://web.archive.org/web/20200102030405/http://WWW.Ex.org:80/a" and a["t"].endswith("/A_b_(c)")
