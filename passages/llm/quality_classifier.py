@@ -6,14 +6,15 @@
 3. Hosts and paths pool the evidence of *all* their documents: a grouped aggregation sums the documents' probabilities
    (the label where there is one), a Beta prior for hosts comes from the spread of host means by the method of moments,
    a second one for paths around their host; so a site with few documents stays near its host and the global rate.
-4. A document's posterior log odds are its own plus the shift of its path's rate against the global one.
+4. A document's posterior log odds are its own plus the shift of its path's rate against the global one. The rate is that of the path's other documents
+   (and so is its host's, around which it is shrunk), so no document's evidence counts twice.
 
 Hosts and paths are joined back as aggregated tables (a broadcast while Spark measures them as small, a shuffle join
 otherwise); texts are never shuffled.
 
-Defined results: null and empty texts are scored by the intercept; a null host or path is a group of its own; a repeated row counts
-again, and repeated labels of an id are averaged; without labels the model is neutral (log odds 0); an empty table gives an
-empty result; other columns are ignored.
+Defined results: null and empty texts are scored by the intercept and the shape of an empty text; a null host or path is a group of its own; a repeated row counts
+again, and repeated labels of an id are averaged; without labels of both kinds the model is neutral (log odds 0); texts of any length are read whole; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from passages.llm.storage import checkpoint, text_batches
 from passages.llm.text import Words, slices
 
 BUCKETS = 1 << 15
@@ -33,7 +35,7 @@ N_SHAPE = 8
 
 
 def shape(w: Words) -> np.ndarray:
-    """Per row: shares of symbols, capitals, exclamation marks, repeated neighbours, white space; log length; distinct share; mean word length."""
+    """Per row: shares of symbols, exclamation marks, repeated neighbours and line ends; log length; distinct share; mean word length; whether the text is empty."""
     off, n = w.rows, len(w.rows) - 1
     size, words = np.maximum(np.diff(off), 1), np.maximum(np.diff(w.bounds), 1)
 
@@ -85,8 +87,8 @@ def examples(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatc
         yield part, Examples(shape(w).astype(np.float32), np.searchsorted(row, np.arange(n + 1)), (k % BUCKETS).astype(np.int16), (c / np.maximum(np.diff(w.bounds), 1)[row] * 10).astype(np.float32))
 
 
-def fit(x: Examples, y: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Adam over full batches; all weights 0 without labels of both kinds."""
+def fit(x: Examples, y: np.ndarray, rounds: int = 100, l2: float = 1e-3, close: float = 1e-4, memory: int = 8) -> np.ndarray:
+    """Logistic regression by L-BFGS, until the gradient is ``close`` to 0 against its start or after ``rounds``; all weights 0 without labels of both kinds."""
     weights = np.zeros(1 + N_SHAPE + BUCKETS)
     n = len(y)
     if len(set(y.tolist())) < 2:
@@ -94,19 +96,45 @@ def fit(x: Examples, y: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> np.n
     size = np.diff(x.bounds)
     penalty = np.full(len(weights), l2)  # words, of which there are thousands, are held back; the few shape features are not
     penalty[: N_SHAPE + 1] = l2 / 1000
-    m1, m2 = np.zeros_like(weights), np.zeros_like(weights)
-    for t in range(1, rounds + 1):
-        product = weights[N_SHAPE + 1 :].astype(np.float32)[x.buckets]
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray]:
+        product = w[N_SHAPE + 1 :].astype(np.float32)[x.buckets]
         product *= x.values
         sums = np.concatenate([[0.0], np.cumsum(product, dtype=np.float64)])
-        z = weights[0] + x.shape @ weights[1 : N_SHAPE + 1] + sums[x.bounds[1:]] - sums[x.bounds[:-1]]
+        z = w[0] + x.shape @ w[1 : N_SHAPE + 1] + sums[x.bounds[1:]] - sums[x.bounds[:-1]]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         del sums
         product[:] = np.repeat(g.astype(np.float32), size)
         product *= x.values
-        grad = np.concatenate([[g.sum()], x.shape.T @ g, np.bincount(x.buckets, product, minlength=BUCKETS)]) + penalty * weights
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        weights -= 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        loss = float((np.logaddexp(0, z) - y * z).mean() + (penalty * w * w).sum() / 2)
+        return loss, np.concatenate([[g.sum()], x.shape.T @ g, np.bincount(x.buckets, product, minlength=BUCKETS)]) + penalty * w
+
+    loss, grad = look(weights)
+    start, past = np.linalg.norm(grad), []
+    for _ in range(rounds):
+        if np.linalg.norm(grad) <= close * start:
+            break
+        d, alphas = -grad, []
+        for s, u, r in reversed(past):
+            alphas.append(r * (s @ d))
+            d = d - alphas[-1] * u
+        if past:
+            s, u, r = past[-1]
+            d = d / (r * (u @ u))
+        for (s, u, r), a in zip(past, reversed(alphas)):
+            d = d + s * (a - r * (u @ d))
+        slope, step = grad @ d, 1.0 if past else 1 / max(1e-12, np.linalg.norm(grad))
+        while True:
+            new, ahead = look(weights + step * d)
+            if new <= loss + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        if new >= loss:
+            break
+        s, u = step * d, ahead - grad
+        weights, loss, grad = weights + s, new, ahead
+        if s @ u > 1e-12:
+            past = [*past[1 - memory :], (s, u, 1 / (s @ u))]
     return weights
 
 
@@ -122,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([r.tobytes() for r in x.shape], pa.binary()), cut(x.buckets), cut(x.values)], ["i", "y", "shape", "buckets", "words"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i")
-    t = rows.mapInArrow(features, f"i {docs.schema[id_col].dataType.simpleString()}, y double, shape binary, buckets binary, words binary").toArrow()
+    t = text_batches(rows).mapInArrow(features, f"i {docs.schema[id_col].dataType.simpleString()}, y double, shape binary, buckets binary, words binary").toArrow()
     if not len(t):
         return np.zeros(1 + N_SHAPE + BUCKETS)
     t = t.take(np.lexsort([t.column("y").to_numpy(), t.column("i").to_numpy()]))
@@ -143,14 +171,14 @@ def evidence(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, h
             for part, w in slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.clip(score_rows(w, shared.value), -30, 30))], ["doc_id", "host", "path", "z"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("t")).mapInArrow(score, "doc_id long, host string, path string, z double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("t")).transform(text_batches).mapInArrow(score, "doc_id long, host string, path string, z double")
 
 
 def posteriors(ev: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(doc_id, host, path, p_doc, p_host, p_path, n_path, p_quality, keep) from (doc_id, host, path, z)."""
     lab = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     p = (1 / (1 + F.exp(-F.col("z")))).alias("p")
-    seen = ev.join(lab, "doc_id", "left").select("host", "path", F.coalesce("y", p).alias("e"))
+    seen = ev.join(lab, "doc_id", "left").select("doc_id", "host", "path", "z", F.coalesce("y", p).alias("e"))
     paths = seen.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count("*").alias("hk"))
     eps = 1e-6
@@ -165,22 +193,43 @@ def posteriors(ev: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
 
     g = hosts.agg(F.sum("hn").alias("gn"), F.sum("hs").alias("gs")).select(((F.col("gs") + 1) / (F.col("gn") + 2)).alias("g"))
     one = g.crossJoin(strength(hosts.crossJoin(g), "hn", "hs", F.col("g")).withColumnRenamed("strength", "kh"))
-    host = hosts.crossJoin(one).select("host", "hk", "g", ((F.col("hs") + F.col("kh") * F.col("g")) / (F.col("hn") + F.col("kh"))).alias("p_host"))
+    host = hosts.crossJoin(one).select("host", "hn", "hs", "g", "kh", ((F.col("hs") + F.col("kh") * F.col("g")) / (F.col("hn") + F.col("kh"))).alias("p_host"))
     both = paths.join(host, paths["host"].eqNullSafe(host["host"])).drop(host["host"])
     kp = strength(both, "n", "s", F.col("p_host")).withColumnRenamed("strength", "kp")
-    path = both.crossJoin(kp).select("host", "path", "n", "g", "p_host", ((F.col("s") + F.col("kp") * F.col("p_host")) / (F.col("n") + F.col("kp"))).alias("p_path"))
-    path = path.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "g", "p_host", "p_path")
+    path = both.crossJoin(kp).withColumn("p_path", (F.col("s") + F.col("kp") * F.col("p_host")) / (F.col("n") + F.col("kp")))
+    path = path.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "s", "hn", "hs", "g", "kh", "kp", "p_host", "p_path")
     logit = lambda c: F.log(c / (1 - c))
-    clip = lambda c: F.least(F.lit(1 - eps), F.greatest(F.lit(eps), F.col(c)))
-    out = ev.join(path, ev["host"].eqNullSafe(path["_h"]) & ev["path"].eqNullSafe(path["_p"]))
-    z = F.col("z") + logit(clip("p_path")) - logit(clip("g"))
+    clip = lambda c: F.least(F.lit(1 - eps), F.greatest(F.lit(eps), c))
+    out = seen.join(path, seen["host"].eqNullSafe(path["_h"]) & seen["path"].eqNullSafe(path["_p"]))
+    others_host = (F.col("hs") - F.col("e") + F.col("kh") * F.col("g")) / (F.col("hn") - 1 + F.col("kh"))
+    others = (F.col("s") - F.col("e") + F.col("kp") * others_host) / (F.col("n") - 1 + F.col("kp"))
+    z = F.col("z") + logit(clip(others)) - logit(clip(F.col("g")))
     q = 1 / (1 + F.exp(-z))
     return out.select("doc_id", "host", "path", p.alias("p_doc"), "p_host", "p_path", F.col("n").alias("n_path"), q.alias("p_quality"), (q >= 0.5).alias("keep"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    from passages.llm.storage import checkpoint
+def posteriors_sql(evidence: str, labels: str, id_col: str = "doc_id", label_col: str = "quality") -> str:
+    """``posteriors`` in SQL, over a table of evidence and one of labels."""
+    eps = 1e-6
+    logit = lambda c: f"ln(least({1 - eps!r}, greatest({eps!r}, {c})) / (1 - least({1 - eps!r}, greatest({eps!r}, {c}))))"
+    strength = lambda n, m, c, t: f"(SELECT least(1e6, greatest(1, v / greatest({eps!r}, (ss - (k - 1) * v) / greatest(1, n - n2 / n)) - 1)) FROM (SELECT sum({n} * ({m} - {c}) ** 2) AS ss, sum({n}) AS n, sum({n} * {n}) AS n2, count(*) AS k, sum({n} * {c} * (1 - {c})) / sum({n}) AS v FROM {t}))"
+    return f"""
+WITH lab AS (SELECT {id_col} AS doc_id, avg({label_col}) AS y FROM {labels} WHERE {label_col} IS NOT NULL AND {id_col} IS NOT NULL GROUP BY 1),
+seen AS (SELECT e.*, 1 / (1 + exp(-z)) AS p, coalesce(y, 1 / (1 + exp(-z))) AS e FROM {evidence} e LEFT JOIN lab USING (doc_id)),
+paths AS (SELECT host, path, count(*)::DOUBLE AS n, sum(e) AS s FROM seen GROUP BY 1, 2),
+hosts AS (SELECT host, sum(n) AS hn, sum(s) AS hs FROM paths GROUP BY 1),
+gl AS (SELECT (sum(hs) + 1) / (sum(hn) + 2) AS g FROM hosts),
+h1 AS (SELECT hosts.*, g FROM hosts, gl),
+h2 AS (SELECT *, {strength("hn", "hs / hn", "g", "h1")} AS kh FROM h1),
+h3 AS (SELECT *, (hs + kh * g) / (hn + kh) AS p_host FROM h2),
+p1 AS (SELECT paths.*, hn, hs, g, kh, p_host FROM paths JOIN h3 ON paths.host IS NOT DISTINCT FROM h3.host),
+p2 AS (SELECT *, {strength("n", "s / n", "p_host", "p1")} AS kp FROM p1),
+o AS (SELECT doc_id, seen.host, seen.path, p AS p_doc, p_host, (s + kp * p_host) / (n + kp) AS p_path, n AS n_path, z, g, (s - e + kp * (hs - e + kh * g) / (hn - 1 + kh)) / (n - 1 + kp) AS others
+ FROM seen JOIN p2 ON seen.host IS NOT DISTINCT FROM p2.host AND seen.path IS NOT DISTINCT FROM p2.path)
+SELECT doc_id, host, path, p_doc, p_host, p_path, CAST(n_path AS BIGINT) AS n_path, 1 / (1 + exp(-(z + {logit("others")} - {logit("g")}))) AS p_quality FROM o"""
 
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     weights = train(docs, labels, id_col, text_col, label_col, fit_rows)
     ev = checkpoint(evidence(docs, weights, id_col, text_col, host_col, path_col))  # used by the sums and by the rows
     return posteriors(ev, labels, id_col, label_col)

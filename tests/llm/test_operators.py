@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -43,6 +44,84 @@ def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+#: What made an operator slow, wrong or stop before: very long runs of one kind, and several texts under one id.
+LONG = {
+    "one word": "a" * 1_000_000, "no word": "!" * 300_000, "white space": "中" + " " * 2_000_000 + "x", "blob": "0123456789abcdef" * 30_000, "line ends": "a\n" * 200_000,
+    "words": sentence(random.Random(77), 150_000), "dots": "a. " * 150_000, "at signs": "a@" * 150_000, "digits": "1 " * 150_000,
+}
+OPERATORS = {
+    "op1": lambda spark, df: jaccard_join.near_copies(df),
+    "op2": lambda spark, df: decontamination.contaminated(df, spark.createDataFrame([(1, " ".join(LONG["words"].split()[70_000:70_040])), (None, LONG["words"][:300])], "item_id long, text string")),
+    "op3": lambda spark, df: pii.find(df),
+    "op4": lambda spark, df: suffix_dedup.repeated(df),
+    "op5": lambda spark, df: license_scan.scan(df),
+    "op6": lambda spark, df: quality_rules.judge(df),
+    "op7": lambda spark, df: token_counts.histogram(df),
+    "op8": lambda spark, df: url_filters.apply(df.withColumn("key", url_filters.key("text")), stored(url_filters.build(df.select(url_filters.key("text").alias("key")).limit(3), df.select(url_filters.key("text").alias("key")))), ["doc_id"]),
+    "op9": lambda spark, df: packing.pieces(df),
+    "op10": lambda spark, df: quality_classifier.classify(df, spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_very_long_texts(spark, name):
+    """Linear time on texts of a megabyte, whatever is in them, with other columns that have the names used inside."""
+    inside = "copy row doc item gram words anchor context lo hi pos sid key shard h1 h2 part z e p y host path signature bucket _h _p path_ deal a b size".split()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(LONG.values())], "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in inside], F.lit("s").alias("source"), F.lit("l").alias("lang"))
+    if name == "op8":
+        df = df.drop("key")
+    began = time.time()
+    rows = OPERATORS[name](spark, df).collect()
+    assert time.time() - began < 60
+    if name == "op2":
+        assert sorted((r["item_id"] or 0, r["doc_id"]) for r in rows) == [(0, 5), (1, 5)]
+    if name == "op3":
+        assert all(r["kind"] in ("secret", "email") for r in rows)
+    if name in ("op6", "op8", "op10"):
+        assert len(rows) == len(LONG)
+    if name in ("op7", "op9"):
+        e = bpe.encoder(bpe.DEFAULT_VOCABULARY)
+        sizes = [len(e.whole(t)) for t in LONG.values()]
+        if name == "op7":
+            assert sorted(r["length"] for r in rows) == sorted(set(sizes))
+        else:
+            by = collections.Counter()
+            for r in rows:
+                by[r["doc_id"]] += len(r["tokens"])
+            assert dict(by) == dict(enumerate(sizes))
+
+
+def test_several_texts_under_one_id(spark):
+    rnd = random.Random(31)
+    a, b, item = sentence(rnd, 80), sentence(rnd, 80), sentence(rnd, 40)
+    halves = item.split()
+    near = lambda t: t + " " + sentence(rnd, 3)
+    df = spark.createDataFrame([(1, a), (1, b), (2, near(a)), (3, near(b)), (4, sentence(rnd, 80))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["group_id"], r["group_size"]) for r in jaccard_join.near_copies(df).collect()) == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
+    bench = spark.createDataFrame([(1, item), (2, a), (2, b)], "item_id long, text string")
+    split = spark.createDataFrame([(7, " ".join(halves[:20]) + " " + sentence(rnd, 9)), (7, sentence(rnd, 2) + " " + " ".join(halves[20:])), (8, item), (8, item), (9, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["shared"]) for r in decontamination.contaminated(split, bench).collect()) == [(8, 1, 36), (9, 2, 76)]
+    mit = " ".join(next(s for _, r, s in license_scan.RULES if r == "mit_text"))
+    twice = spark.createDataFrame([(1, mit), (2, mit), (2, mit), (None, mit)], "doc_id long, text string")
+    assert sorted(((r["doc_id"] or 0), r["rule"], r["matches"]) for r in license_scan.scan(twice).collect()) == [(0, "mit_text", 1), (1, "mit_text", 1), (2, "mit_text", 2)]
+
+
+def test_buckets_that_do_not_shrink(spark):
+    """Pages of one template, of which none are near copies but planted pairs, go on splitting in Spark or are compared block against block: the pairs are found."""
+    rnd = random.Random(41)
+    core = sentence(rnd, 36).split()
+    rows = []
+    for i in range(0, 240, 2):
+        own = sentence(rnd, 60).split()
+        rows += [(i, " ".join(core + own)), (i + 1, " ".join(core + own[:50] + sentence(rnd, 10).split()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    assert len(want) == 240
+    for chunk in (20, 4000):
+        got = {r["doc_id"]: r["group_id"] for r in jaccard_join.near_copies(docs, chunk=chunk).collect()}
+        assert set(got.items()) <= set(want.items()) and len(got) >= 0.97 * len(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, sf, duck, name):
     a, b = queries.QUERIES[name](spark, sf).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
@@ -401,14 +480,28 @@ def test_cascade(spark, broadcast):
     universe = rows.select("key").distinct()
     listed = universe.filter(F.crc32("key") % 5 == 0).union(spark.createDataFrame([("elsewhere",), ("",)], "key string"))
     filters = stored(url_filters.build(universe, listed, shards=3))
-    got = url_filters.apply(rows.drop("shard"), filters, 3, ["page_id", "url"], broadcast).collect()
+    got = url_filters.apply(rows, filters, ["page_id", "url"], broadcast).collect()
     assert len(got) == len(urls)
     want = {r["key"] for r in listed.collect()}
     keys = {(r["page_id"], r["url"]): r["key"] for r in rows.collect()}
     assert all(r["listed"] == (keys[r["page_id"], r["url"]] in want) for r in got)
     none = stored(url_filters.build(universe, listed.limit(0), shards=2))
-    assert not any(r["listed"] for r in url_filters.apply(rows.drop("shard"), none, 2, ["page_id"], broadcast).collect())
-    assert url_filters.apply(rows.drop("shard").limit(0), filters, 3, ["page_id"], broadcast).count() == 0
+    assert not any(r["listed"] for r in url_filters.apply(rows, none, ["page_id"], broadcast).collect())
+    assert url_filters.apply(rows.limit(0), filters, ["page_id"], broadcast).count() == 0
+    names = ["shard", "h1", "h2", "part", "kind", "level", "k", "m", "bits", "_0", "page id", "page_id"]
+    clash = rows.select("*", *[F.lit(n).alias(n) for n in names if n not in rows.columns])
+    out = url_filters.apply(clash, filters, names, broadcast)
+    assert out.columns == [*names, "listed"] and sorted((r["page_id"], r["listed"]) for r in out.collect()) == sorted((r["page_id"], r["listed"]) for r in got)
+    assert all(r["m"] == "m" and r["h1"] == "h1" for r in out.collect())
+
+
+def test_cascade_with_a_shard_of_no_listed_keys(spark):
+    """However few shards have filters, keys are looked up in the shard they were built in."""
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(400)], "i long, key string")
+    for k in ("k3", "k8", "nowhere"):
+        filters = stored(url_filters.build(rows.select("key"), spark.createDataFrame([(k,)], "key string"), shards=40))
+        for broadcast in (url_filters.BROADCAST_BYTES, 0):
+            assert [r["i"] for r in url_filters.apply(rows, filters, ["i", "key"], broadcast).filter("listed").collect()] == ([int(k[1:])] if k != "nowhere" else [])
 
 
 # 9
@@ -449,6 +542,54 @@ def test_classifier(spark, sf, edge, empty):
     assert flat.count() == edge.count() and flat.filter("p_doc <> 0.5").count() == 0
 
 
+def test_fit_is_the_optimum():
+    """At the fitted weights the gradient, worked out on dense features, is nil, and plain gradient descent gets no lower."""
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    rows = [(" ".join(rnd.choice(("good", "fine", "calm") if i % 2 else ("bad", "spam", "loud")) if rnd.random() < 0.4 else f"w{rnd.randrange(30)}" for _ in range(20)), i % 2) for i in range(120)]
+    parts = [x for _, x in quality_classifier.examples(pa.record_batch({"t": pa.array([t for t, _ in rows])}), "t")]
+    x, y = parts[0], np.array([float(l) for _, l in rows])
+    w = quality_classifier.fit(x, y, rounds=2000, close=1e-8)
+    dense = np.zeros((120, len(w)))
+    dense[:, 0] = 1
+    dense[:, 1 : quality_classifier.N_SHAPE + 1] = x.shape
+    for i in range(120):
+        a, b = x.bounds[i], x.bounds[i + 1]
+        dense[i, quality_classifier.N_SHAPE + 1 + x.buckets[a:b]] = x.values[a:b]
+    used = dense.any(0)
+    d, penalty = dense[:, used], np.where(np.flatnonzero(used) <= quality_classifier.N_SHAPE, 1e-6, 1e-3)
+    v, speed = np.zeros(d.shape[1]), np.zeros(d.shape[1])
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-(d @ v)))
+        speed = 0.99 * speed - 0.05 * (d.T @ (p - y) / 120 + penalty * v)
+        v = v + speed
+    loss = lambda u: (np.logaddexp(0, d @ u) - y * (d @ u)).mean() + (penalty * u * u).sum() / 2
+    p = 1 / (1 + np.exp(-(d @ w[used])))
+    assert np.abs(d.T @ (p - y) / 120 + penalty * w[used]).max() < 1e-5 and loss(w[used]) <= loss(v) + 1e-6 and not w[~used].any()
+
+
+def test_posteriors_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rnd = np.random.default_rng(3)
+    rows = [(i if i % 50 else None, None if i % 17 == 0 else f"h{i % 7}", None if i % 13 == 0 else f"p{int(rnd.integers(0, 4 + i % 7))}", float(rnd.normal(i % 7 - 3, 2))) for i in range(2000)] + [(5, "h5", "p1", 30.0)]
+    labels = [(i, int(rnd.integers(0, 2)) if i % 5 else None) for i in range(0, 2000, 3)] + [(3, 1), (None, 1)]
+    ev, lab = spark.createDataFrame(rows, "doc_id long, host string, path string, z double"), spark.createDataFrame(labels, "doc_id long, quality int")
+    c = duckdb.connect()
+    e_, l_ = pd.DataFrame(rows, columns=["doc_id", "host", "path", "z"]).astype({"doc_id": "Int64"}), pd.DataFrame(labels, columns=["doc_id", "quality"]).astype("Int64")
+    c.register("ev", e_), c.register("lab", l_)
+    want = c.sql(quality_classifier.posteriors_sql("ev", "lab")).df()
+    got = quality_classifier.posteriors(ev, lab).toPandas()
+    key = ["doc_id", "host", "path", "p_doc"]
+    a, b = (x.assign(p_doc=x.p_doc.round(9)).sort_values(key, na_position="first").reset_index(drop=True) for x in (got, want))
+    assert len(a) == len(rows)
+    for col in ("p_doc", "p_host", "p_path", "n_path", "p_quality"):
+        assert np.allclose(a[col].astype(float), b[col].astype(float), atol=1e-8), col
+    assert (a.keep == (b.p_quality >= 0.5)).all()
+
+
 def test_shrinkage(spark):
     """A path with few documents stays nearer its host's rate than one with many."""
     rows = [(i, "h1", "p1", -4.0) for i in range(300)] + [(1000 + i, "h1", "p2", 4.0) for i in range(300)] + [(2000, "h1", "p3", -4.0)] + [(3000 + i, "h2", "p1", 4.0) for i in range(300)]
