@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass, replace
 METHODS = ("rectangle", "euclidean", "cityblock", "chebyshev")
 MODULUS = 2**31 - 1
 CHARS_PER_WORD = 5.5
+#: What a user may set, and how far.
+BOUNDS = {"position_threshold": (1, 200), "offset_threshold": (1, 200), "min_cluster_size": (1, 50)}
 
 
 @dataclass(frozen=True)
@@ -43,16 +45,15 @@ class ScoreParams:
 
     def edited(self, **overrides) -> ScoreParams:
         """With user-supplied thresholds, each clamped to its bounds; values that aren't numbers are ignored."""
-        bounds = {"position_threshold": (1, 200), "offset_threshold": (1, 200), "min_cluster_size": (1, 50)}
         good = {}
         for name, value in overrides.items():
-            if name not in bounds or value is None or isinstance(value, bool):
+            if name not in BOUNDS or value is None or isinstance(value, bool):
                 continue
             try:
                 number = int(value)
             except (TypeError, ValueError):
                 continue
-            good[name] = max(bounds[name][0], min(bounds[name][1], number))
+            good[name] = max(BOUNDS[name][0], min(BOUNDS[name][1], number))
         return replace(self, **good)
 
 

@@ -352,6 +352,13 @@ def host_search(spark, d):
     return md.host_search(_read(spark, d, "pages").select("page_id", "url"), "example co")
 
 
+@query(f"SELECT page_id, url, host FROM (SELECT page_id, url, {_HOST} AS host, regexp_split_to_array(regexp_replace({_HOST}, '[^0-9a-z]+', ' ', 'g'), ' ') AS t FROM pages) WHERE list_contains(t, 'example') AND len(list_filter(t, lambda x: starts_with(x, 'c'))) > 0 ORDER BY host, url, page_id LIMIT 20")
+def host_search_stored(spark, d):
+    path = _scratch(spark, d, "hosts")
+    md.write_host_index(_read(spark, d, "pages").select("page_id", "url"), path)
+    return md.search_host_index(spark, path, "example c").select("page_id", "url", "host")
+
+
 @query("SELECT event_id, 'https://web.archive.org/web/' || strftime(ts, '%Y%m%d%H%M%S') || '/' || 'http://e.com/' || user_id AS link FROM events")
 def wayback_links(spark, d):
     e = _read(spark, d, "events").select("event_id", F.concat(F.lit("http://e.com/"), F.col("user_id").cast("string")).alias("u"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
@@ -388,6 +395,19 @@ def scores_with_metadata(spark, d):
     return md.with_metadata(c, _docs(spark, d).select("doc_id", "lang", "source"))
 
 
+@query("SELECT CAST(page_id AS VARCHAR) AS id, url AS u FROM pages WHERE url <> ''")
+def pages_with_url(spark, d):
+    return md.with_url(_read(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("u")))
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type WHEN user_id % 2 = 0 THEN 'h' || user_id || '.org' ELSE 'document ' || event_id END AS label FROM events")
+def labels(spark, d):
+    e = _read(spark, d, "events")
+    title = F.when(F.col("event_type") != "view", F.col("event_type"))
+    url = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("http://www.h"), F.col("user_id").cast("string"), F.lit(".org/x")))
+    return e.select("event_id", md.label(title, url, F.col("event_id"), F.col("event_id")).alias("label"))
+
+
 @query(f"SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY host) > 1 THEN host || ' (' || row_number() OVER (PARTITION BY host ORDER BY page_id) || ')' ELSE host END AS numbered FROM (SELECT page_id, {_HOST} AS host FROM pages)")
 def numbered_labels(spark, d):
     return md.numbered(_read(spark, d, "pages").select("page_id", md.host("url").alias("host")), "host", "page_id").select("page_id", "numbered")
