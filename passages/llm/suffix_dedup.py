@@ -5,11 +5,12 @@ some window of ``least - k + 1`` consecutive k-grams lies, and its smallest k-gr
 copy of the run. So each repeated run holds an anchor that occurs more than once, and all its copies lie within
 the contexts of that anchor's occurrences. This leaves one row in about ``least / 4`` words, and then:
 
-1. Anchors that occur once (counted with map-side partial sums) are dropped: no repeated run holds them.
+1. Anchors that occur once (counted with map-side partial sums) are dropped: no repeated run holds them. A Bloom filter of the others does so in a scan;
+   what it lets through besides is an anchor of one context, which comes to nothing below.
 2. Contexts (the words within reach of a run that holds the anchor) that occur more than once are repeated as a whole, so all their
    words are marked; one of each such group stands for it below. Counts and the one that stands are aggregated before they are shuffled and joined back, so a passage
    that a third of all rows share gathers in no task.
-3. Where an anchor has several different contexts, these are gathered, anchor by anchor, into blocks. A block's Burrows-Wheeler
+3. Where an anchor has several different contexts, a second scan of the texts (which are never shuffled) picks the places that stand for them, again by a filter, and these contexts' words are gathered, anchor by anchor, into blocks. A block's Burrows-Wheeler
    transform is expanded breadth-first by backward extension: after step l the intervals are the words' runs of length l, so a
    boundary that appears in step l + 1 has the common prefix l: prefixes are derived by increasing value, up to ``least``, where it stops. Intervals that
    are left hold runs of ``least`` equal words, repeated if they come from more than one place.
@@ -32,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from passages.llm.sieve import passes, sieve
 from passages.llm.storage import stored, text_batches
-from passages.llm.text import Words, grams, signed, slices, window_hashes
+from passages.llm.text import Words, mix, signed, slices, window_hashes
 
 LEAST = 50
 BLOCK_WORDS = 400_000
@@ -77,21 +79,47 @@ def anchors_of(w: Words, least: int, step: int = 1 << 22) -> tuple[np.ndarray, n
 ANCHORS = "doc_id long, anchor long, context long, lo int, hi int"
 
 
+def _spots(w: Words, least: int) -> tuple[np.ndarray, ...]:
+    """Of all anchors: row, k-gram hash, context hash, and the context's words [first, last) among ``w.hashes``."""
+    row, at, g = anchors_of(w, least)
+    first, last = np.maximum(w.bounds[row], at - (least - least // 2)), np.minimum(w.bounds[row + 1], at + least)
+    # the anchor's place in its context is part of the context
+    return row, g, window_hashes(w, first, last) ^ (at - first).astype(np.uint64), first, last
+
+
+def _place(doc: np.ndarray, lo: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """A hash of a context where it stands."""
+    return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64)) ^ context.view(np.uint64)
+
+
 def anchors(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, anchor, context, lo, hi): the context is the words [lo, hi) of the document."""
-    k = least // 2
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, w in slices(batch, "t"):
-                row, at, g = anchors_of(w, least)
-                first, last = w.bounds[row], w.bounds[row + 1]
-                lo, hi = np.maximum(first, at - (least - k)), np.minimum(last, at + least)
-                # the anchor's place in its context is part of the context
-                c = window_hashes(w, lo, hi) ^ (at - lo).astype(np.uint64)
-                yield pa.record_batch({"doc_id": part.column(0).take(pa.array(row)), "anchor": pa.array(signed(g)), "context": pa.array(signed(c)), "lo": pa.array((lo - first).astype(np.int32)), "hi": pa.array((hi - first).astype(np.int32))})
+                row, g, c, first, last = _spots(w, least)
+                base = w.bounds[row]
+                yield pa.record_batch({"doc_id": part.column(0).take(pa.array(row)), "anchor": pa.array(signed(g)), "context": pa.array(signed(c)), "lo": pa.array((first - base).astype(np.int32)), "hi": pa.array((last - base).astype(np.int32))})
+
+    return _texts(docs, id_col, text_col).mapInArrow(pick, ANCHORS)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("doc_id IS NOT NULL"))
+
+
+def _live(every: DataFrame, repeated_anchors: np.ndarray) -> DataFrame:
+    """The anchors that pass, with ``place``."""
+    shared = every.sparkSession.sparkContext.broadcast(repeated_anchors)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(passes(shared.value, b.column("anchor").to_numpy())))
+            place = _place(*(b.column(c).to_numpy() for c in ("doc_id", "lo", "context")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signed(place))], [*b.schema.names, "place"])
 
-    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))).mapInArrow(pick, ANCHORS)
+    return every.mapInArrow(drop, f"{ANCHORS}, place long")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -213,63 +241,61 @@ def _blocks(least: int, block_words: int):
     return run
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, least: int, id_col: str, text_col: str, runs: bool = False) -> DataFrame:
-    """``wanted``: (doc_id, w: array of (anchor, lo, hi, context)); gives (doc_id, anchor, lo, words), words as 32-bit values; or with ``runs``
+def _contexts(docs: DataFrame, places: np.ndarray, hot: np.ndarray | None, least: int, id_col: str, text_col: str, runs: bool = False) -> DataFrame:
+    """(doc_id, anchor, lo, words), words as 32-bit values, of the contexts whose places pass, without those of hot anchors; or with ``runs`` of these alone
     (doc_id, run, lo), the hash of each run of ``least`` words in a context."""
+    shared = docs.sparkSession.sparkContext.broadcast((places, hot))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want, hot = shared.value
         for batch in batches:
             for part, w in slices(batch, "t"):
-                lists = part.column("w")
-                n = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1])
-                flat = lists.flatten()
-                row = np.repeat(np.arange(len(lists)), n)
-                first, last = w.bounds[row] + flat.field(1).to_numpy(), w.bounds[row] + flat.field(2).to_numpy()
-                fits = last <= w.bounds[row + 1]
-                near = window_hashes(w, np.where(fits, first, 0), np.where(fits, last, 0)) ^ flat.field(3).to_numpy().view(np.uint64)
-                ours = np.flatnonzero(fits & (near <= np.uint64(least)))  # else the context is another row's of the same id
-                anchor, lo, row, first = flat.field(0).take(pa.array(ours)), flat.field(1).take(pa.array(ours)), row[ours], first[ours]
-                size = (last[ours] - first).astype(np.int64)
+                row, g, c, first, last = _spots(w, least)
+                doc, lo = part.column("doc_id").to_numpy()[row], first - w.bounds[row]
+                ours = passes(want, _place(doc, lo, c))
+                if hot is not None:
+                    ours &= passes(hot, g) == runs
+                doc, lo, g, first, last = (x[ours] for x in (doc, lo, g, first, last))
+                size = last - first
                 if runs:
                     count = np.maximum(size - least + 1, 0)
-                    each = np.repeat(np.arange(len(row)), count)
+                    each = np.repeat(np.arange(len(doc)), count)
                     step = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
                     run = window_hashes(w, first[each] + step, first[each] + step + least)
-                    yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(row[each])), "run": pa.array(signed(run)), "lo": pa.array((lo.to_numpy()[each] + step).astype(np.int32))})
+                    yield pa.record_batch({"doc_id": pa.array(doc[each]), "run": pa.array(signed(run)), "lo": pa.array((lo[each] + step).astype(np.int32))})
                     continue
                 ends = np.cumsum(size)
                 take = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-                small = (w.hashes >> np.uint64(32)).astype("<u4")[np.minimum(take, max(len(w.hashes) - 1, 0))]
+                small = (w.hashes[take] >> np.uint64(32)).astype("<u4")
                 offs = np.concatenate([[0], ends * 4]).astype(np.int32)
-                words = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offs), pa.py_buffer(small.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), anchor, lo, words], ["doc_id", "anchor", "lo", "words"])
+                words = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offs), pa.py_buffer(small.tobytes())])
+                yield pa.record_batch({"doc_id": pa.array(doc), "anchor": pa.array(signed(g)), "lo": pa.array(lo.astype(np.int32)), "words": words})
 
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(wanted, "doc_id")
-    return text_batches(both.select("doc_id", "t", "w")).mapInArrow(cut, "doc_id long, run long, lo int" if runs else "doc_id long, anchor long, lo int, words binary")
+    return _texts(docs, id_col, text_col).mapInArrow(cut, "doc_id long, run long, lo int" if runs else "doc_id long, anchor long, lo int, words binary")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, block_words: int = BLOCK_WORDS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): maximal passages made of runs of ``least`` words that occur more than once in the corpus."""
     if least < 4:
         raise ValueError("least must be 4 or more")
-    all_anchors = stored(anchors(docs, least, id_col, text_col).filter("doc_id IS NOT NULL"))
-    counts = all_anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1")
-    live = stored(all_anchors.join(counts.select("anchor", "mixed"), "anchor"))
+    every = stored(anchors(docs, least, id_col, text_col))
+    again = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    live = stored(_live(every, sieve(again, again.count())))
     # equal contexts have equal anchors, so the context alone is the key
-    per = stored(live.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("at"), F.first("anchor").alias("anchor"), F.first("mixed").alias("mixed")))
-    whole = live.join(per.filter("n > 1").select("context"), "context", "left_semi").select("doc_id", "lo", "hi")
-    mixed = per.filter("mixed").select("anchor", "context", "at.*")
-    hot = stored(mixed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot_contexts).select("anchor"))
-    entry = F.collect_list(F.struct("anchor", "lo", "hi", "context")).alias("w")
-    some_hot = bool(hot.take(1))
-    cool = mixed.join(hot, "anchor", "left_anti") if some_hot else mixed
-    blocks = _contexts(docs, cool.groupBy("doc_id").agg(entry), least, id_col, text_col).repartition("anchor").sortWithinPartitions("anchor")
+    per = stored(live.groupBy("context").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min("anchor").alias("anchor")))
+    whole = live.select("context", "doc_id", "lo", "hi").join(per.filter("n > 1").select("context"), "context", "left_semi").select("doc_id", "lo", "hi")
+    several = stored(per.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    places = stored(per.join(several.select("anchor"), "anchor").select("place"))
+    hot = several.filter(F.col("n") > hot_contexts).select("anchor")
+    n_hot = hot.count()
+    marks, hot_sieve = sieve(places, places.count()), sieve(hot, n_hot) if n_hot else None
+    blocks = _contexts(docs, marks, hot_sieve, least, id_col, text_col).repartition("anchor").sortWithinPartitions("anchor")
     marked = whole.unionByName(blocks.mapInArrow(_blocks(least, block_words), "doc_id long, lo int, hi int"))
-    if some_hot:
-        runs = stored(_contexts(docs, mixed.join(hot, "anchor", "left_semi").groupBy("doc_id").agg(entry), least, id_col, text_col, runs=True))
-        place = F.struct("doc_id", "lo")
-        again = runs.groupBy("run").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("run")
-        marked = marked.unionByName(runs.join(again, "run", "left_semi").select("doc_id", "lo", (F.col("lo") + least).alias("hi")))
+    if n_hot:
+        runs = stored(_contexts(docs, marks, hot_sieve, least, id_col, text_col, runs=True))
+        place = F.xxhash64("doc_id", "lo")
+        often = runs.groupBy("run").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("run")
+        marked = marked.unionByName(runs.join(often, "run", "left_semi").select("doc_id", "lo", (F.col("lo") + least).alias("hi")))
     w = Window.partitionBy("doc_id").orderBy("lo", "hi")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     islands = marked.select("*", F.max("hi").over(before).alias("reach")).select("*", F.sum(F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
