@@ -26,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from passages.llm.storage import checkpoint, text_batches
+from passages.llm.sieve import without
+from passages.llm.storage import checkpoint, stored, text_batches
 from passages.llm.text import grams, signed, slices
 
 N = 5
@@ -179,8 +180,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that no item contaminates, with all their columns; rows without id can't be told apart and stay."""
     id_col = how.get("id_col", "doc_id")
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    bad = contaminated(docs, benchmark, **how).select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    return without(docs, stored(bad), id_col)
 
 
 def oracle(n: int = N, least: float = LEAST) -> str:

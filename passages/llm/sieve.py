@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from passages.llm.storage import text_batches
 from passages.llm.text import mix
 
 SIEVE_BITS = 1 << 28
@@ -38,3 +40,23 @@ def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys are in the filter, or may be."""
     at = _places(keys, len(words) << 6)
     return (words[at >> 6] >> (at & 63) & 1).all(0)
+
+
+def without(docs: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
+    """The documents whose ids (as longs) aren't among those of ``drop``, a stored table of one column; rows with a null id stay, and so do all columns. Texts aren't shuffled: rows
+    that the filter of ``drop`` rules out stay without a join, and only the others (those to drop, and a few that it errs on) are joined."""
+    words = docs.sparkSession.sparkContext.broadcast(sieve(drop, drop.count()))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    keyed = text_batches(docs.select(F.col(f"`{id_col}`").cast("long").alias("_key"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]))
+
+    def part(wanted: bool) -> DataFrame:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0)
+                maybe = passes(words.value, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & ~ids.is_null().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(maybe == wanted))
+
+        return keyed.mapInArrow(pick, keyed.schema)
+
+    kept = part(False).unionByName(part(True).join(drop.toDF("_key"), "_key", "left_anti").select(keyed.columns))
+    return kept.select(names).toDF(*docs.columns)

@@ -186,6 +186,22 @@ def test_pair_recall(spark):
     assert len(got) >= 0.9 * len(want) and set(got.items()) <= set(want.items())
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity of 0.5 to 0.6 are found at about the target rate of 0.97, and none below 0.5 is."""
+    rnd = random.Random(16)
+    rows = []
+    for i in range(0, 600, 2):
+        base = sentence(rnd, 200).split()
+        edited = list(base)
+        for k in range(3, 200, 9 if i % 4 else 10):
+            edited[k] = f"e{i}x{k}"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(edited))]
+    want = brute_groups(rows)
+    assert len(want) > 500
+    got = {r["doc_id"]: r["group_id"] for r in jaccard_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.items()) <= set(want.items()) and len(got) >= 0.94 * len(want)
+
+
 def test_template_recall():
     """Splitting a big bucket of pages of one template keeps the planted pairs, at any base similarity."""
     assert jaccard_join.runs_for(0.5, 0.97, 3) == 27
