@@ -206,8 +206,7 @@ _MAYBE[[*range(48, 58), 64]] = True
 def _maybe(text: pa.Array) -> np.ndarray:
     """Rows with a digit or an at sign: any candidate has one."""
     data, off = buffers(text)
-    s = np.concatenate([[0], np.cumsum(_MAYBE[data], dtype=np.int64)])
-    return np.flatnonzero(s[off[1:]] > s[off[:-1]])
+    return np.unique(np.searchsorted(off, np.flatnonzero(_MAYBE[data]), "right") - 1)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
