@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_copies(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size")
+    return jaccard_join.near_copies(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "links")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

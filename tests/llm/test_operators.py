@@ -222,6 +222,57 @@ def test_template_recall():
         assert len(planted) > 50 and len(planted & found) >= 0.98 * len(planted)
 
 
+def brute_links(rows, n=3, least=0.5):
+    """{doc_id: other documents that any of its texts is similar enough to any text of}."""
+    sets = [(i, frozenset(tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1)))) for i, t in rows if i is not None and t and (w := WORD.findall(t.lower()))]
+    to = collections.defaultdict(set)
+    for (i, x), (j, y) in itertools.combinations(sets, 2):
+        if i != j and min(len(x), len(y)) >= least * max(len(x), len(y)) and (c := len(x & y)) / (len(x) + len(y) - c) >= least:
+            to[i].add(j), to[j].add(i)
+    return {i: len(x) for i, x in to.items()}
+
+
+@pytest.mark.parametrize("chunk", [2, 4000])
+def test_every_link(spark, chunk):
+    """All links at and just above the threshold are found and counted: in a group of many different texts, among pages of a template, between texts of unlike sizes, of copies, and of several texts under one id."""
+    rnd = random.Random(52)
+    rows = []
+    base = sentence(rnd, 150).split()
+    for _ in range(80):  # pairs of these have similarities about the threshold
+        text = list(base)
+        for k in rnd.sample(range(150), rnd.randrange(0, 18)):
+            text[k] = f"n{rnd.randrange(10**9)}"
+        rows.append((len(rows), " ".join(text)))
+    core = sentence(rnd, 36).split()
+    for _ in range(200):
+        own = core + sentence(rnd, 60).split()
+        edited = list(own)
+        for k in range(rnd.randrange(3, 9), 96, rnd.choice((9, 10, 11))):
+            edited[k] = f"n{rnd.randrange(10**9)}"
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(edited))]
+    for size in range(1, 12):  # a half of a text's grams, one less, and one more
+        own = sentence(rnd, 2 * size + 2).split()
+        rows += [(len(rows) + k, " ".join(own[: size + 1 + k])) for k in range(4)] + [(len(rows) + 4, " ".join(own))]
+    rows += [(5000 + i, rows[i % 7][1]) for i in range(30)] + [(7000, rows[0][1]), (7000, rows[100][1]), (7001, rows[101][1]), (7001, rows[102][1]), (7001, rows[102][1]), (None, base[0])]
+    got = jaccard_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()
+    want = brute_links(rows)
+    assert max(want.values()) > 60
+    assert {r["doc_id"]: r["links"] for r in got} == want
+    assert all(r["jaccard"] >= 0.5 for r in got)
+
+
+def test_meetings_in_parts():
+    """Candidates of a part hold every pair at the threshold, hot grams, equal sizes and copies included, each text but once a gram."""
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(0, 90, rng.integers(1, 60)) for _ in range(40)]
+    sets = [np.unique(np.where(rng.random(len(x)) < 0.25, rng.integers(0, 90, len(x)), x)).astype(np.uint32) for x in bases for _ in range(10)]
+    rows = [(g, s[k - 1] if k else 0, i, k, len(s)) for i, s in enumerate(sets) for k, g in enumerate(s) if k <= len(s) - np.ceil(len(s) / 2)]
+    cols = [np.array(c, np.uint32) for c in zip(*rows, *rows[:50])]
+    found = {(int(p) >> 32, int(p) & 0xFFFFFFFF) for x in jaccard_join.meet(*cols, 0.5) for p in x}
+    want = {(i, j) for i, j in itertools.combinations(range(400), 2) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
+    assert len(want) > 100 and want <= found
+
+
 # 2
 
 
