@@ -6,8 +6,9 @@ The join is exact: a set follows its own rarest grams into buckets, and two sets
 2. All grams are put in one order: those that a sample of ``SAMPLE`` texts doesn't show often, by hash, then the others by how often it shows them. The order decides
    how many candidates there are, never which links are found. Two sets x and y at the threshold share o = ceil(least / (1 + least) * (x + y)) grams, so one
    of the first x - o + 1 of x is among the first y - o + 1 of y (prefix filter).
-3. A text's prefix is dealt to parts by gram. In a part, sets of one gram meet if their sizes and the gram's places allow the threshold, unless the gram before is the same
-   in both, as they have met there. No bucket is capped; within one, sets are taken by size, so that each meets only those of sizes it can match.
+3. A text's prefix is dealt to parts by gram. In a part, sets of one gram meet if their sizes and the gram's places allow the threshold. No bucket is capped; within one, sets are taken
+   by size, so that each meets only those of sizes it can match. Meetings are counted over all parts: with prefixes longer by l - 1, two sets at the threshold meet l times at least (see ``required``),
+   and pairs that meet less often go before anything is joined to them.
 4. Bits of parity of the sets (2 to 4 a gram) bound the difference of the two sets of a pair from below; pairs beyond what the threshold allows go.
 5. The others are compared on their whole sets, in blocks, so that sets of one group travel once a block and not once a pair.
 6. Links make groups (connected components, by alternating star contraction).
@@ -133,12 +134,19 @@ def needed(sizes: np.ndarray, least: float) -> np.ndarray:
     return np.ceil(sizes * (least / (1 + least)) - 1e-6).astype(np.int64)
 
 
-_FIELDS = ("gram", "before", "copy", "place", "size")
+def required(less: np.ndarray, more: np.ndarray, least: float) -> np.ndarray:
+    """Meetings l that two sets of so many grams have if they are at the threshold, among the first x - o + l and y - o + l of them, where o is what they must share: the prefix that ends first in
+    the common order leaves out o - l of the shared grams at most, and the other one has all before that. The more, the fewer pairs are left, but the longer the prefixes: about a sixteenth of the
+    lesser set, and no more than the prefixes that are dealt allow."""
+    return np.minimum(1 + less // 16, needed(less + more, least) - np.ceil(more * least - 1e-6).astype(np.int64) + 1)
+
+
+_FIELDS = ("gram", "copy", "place", "size")
 
 
 def postings(docs: DataFrame, n: int, id_col: str, text_col: str, least: float, hot: tuple, often: tuple, parts: int) -> DataFrame:
-    """(part, gram, before, copy, place, size): prefixes, dealt by gram, as runs of 32-bit values. ``copy`` is cut to 32 bits, which can only add candidates;
-    ``before`` is the gram before. ``place`` and ``size`` are laid out byte by byte, for they compress so."""
+    """(part, gram, copy, place, size): prefixes, dealt by gram, as runs of 32-bit values. ``copy`` is cut to 32 bits, which can only add candidates.
+    ``place`` and ``size`` are laid out byte by byte, for they compress so."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, often))
 
     def deal(held: list) -> Iterator[pa.RecordBatch]:
@@ -149,8 +157,8 @@ def postings(docs: DataFrame, n: int, id_col: str, text_col: str, least: float,
         part = part[order].astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
         cols = [x[order] for x in (gram, *rest)]
-        planes = [[x[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in cols[3:]]
-        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *[_blobs(x, cuts) for x in cols[:3]], *[pa.array(x, pa.binary()) for x in planes]], ["part", *_FIELDS])
+        planes = [[x[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in cols[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *[_blobs(x, cuts) for x in cols[:2]], *[pa.array(x, pa.binary()) for x in planes]], ["part", *_FIELDS])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, (copies, firsts) = shared.value
@@ -168,9 +176,7 @@ def postings(docs: DataFrame, n: int, id_col: str, text_col: str, least: float,
                 if len(copies):
                     at = np.minimum(np.searchsorted(copies, signed(copy)), len(copies) - 1)
                     wanted &= ((copies[at] != signed(copy)) | (firsts[at] == part.column(0).to_numpy()[live]))[row]
-                before = np.zeros(len(key), np.uint64)
-                before[1:] = key[:-1]
-                held.append((key[wanted], before[wanted].astype(np.uint32), copy[row[wanted]].astype(np.uint32), place[wanted].astype(np.uint32), size[row[wanted]].astype(np.uint32)))
+                held.append((key[wanted], copy[row[wanted]].astype(np.uint32), place[wanted].astype(np.uint32), size[row[wanted]].astype(np.uint32)))
                 count += int(wanted.sum())
                 if count >= HELD:
                     yield from deal(held)
@@ -178,52 +184,62 @@ def postings(docs: DataFrame, n: int, id_col: str, text_col: str, least: float,
         if count:
             yield from deal(held)
 
-    return _rows(docs, id_col, text_col).mapInArrow(make, "part long, gram binary, before binary, copy binary, place binary, size binary")
+    return _rows(docs, id_col, text_col).mapInArrow(make, "part long, gram binary, copy binary, place binary, size binary")
 
 
-def meet(gram: np.ndarray, before: np.ndarray, copy: np.ndarray, place: np.ndarray, size: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Candidates among the postings of a part, as arrays of two 32-bit copies in 64 bits, the lesser one above."""
+def tallies(gram: np.ndarray, copy: np.ndarray, place: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Meetings among the postings of a part: pairs as two 32-bit copies in 64 bits, the lesser one above, how often they met, and how often they must have over all parts. A pair may come again."""
     order = np.argsort(gram, kind="stable")
     new = np.concatenate([[True], np.diff(gram[order]) != 0, [True]])
     order = order[~(new[1:] & new[:-1])]  # grams of one posting match nothing
-    order = order[np.lexsort((before[order], place[order], copy[order], size[order], gram[order]))]
-    fields = [x[order] for x in (gram, before, copy, place, size)]
+    order = order[np.lexsort((place[order], copy[order], size[order], gram[order]))]
+    fields = [x[order] for x in (gram, copy, place, size)]
     if len(order):  # texts that several rows have
         again = np.logical_and.reduce([x[1:] == x[:-1] for x in fields])
         fields = [x[np.concatenate([[True], ~again])] for x in fields]
-    gram, before, copy, place, size = fields[0], fields[1], fields[2].astype(np.uint64), fields[3].astype(np.int64), fields[4].astype(np.int64)
+    gram, copy, place, size = fields[0], fields[1].astype(np.uint64), fields[2].astype(np.int64), fields[3].astype(np.int64)
     ends = np.searchsorted(gram, gram, "right")
-    found, count, k = [], 0, 0
-    at = np.flatnonzero(place <= size - needed(2 * size, least))  # as the smaller set of a pair
+    found, needs, count, k = [], [], 0, 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs, need = np.concatenate(found), np.concatenate(needs)
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        return pairs[starts], np.diff(np.append(starts, len(pairs))), np.minimum.reduceat(need[order], starts)
+
+    at = np.flatnonzero(place <= size - needed(2 * size, least) + size // 16)  # as the smaller set of a pair
     while len(at):
         k += 1
         at = at[at + k < ends[at]]
         at = at[size[at] >= np.ceil(size[at + k] * least - 1e-6)]  # sizes ascend in a bucket: later ones don't match either
         to = at + k
-        share = needed(size[at] + size[to], least)
-        good = (place[at] <= size[at] - share) & (place[to] <= size[to] - share) & ((before[at] != before[to]) | (place[at] == 0) | (place[to] == 0))
+        need = required(size[at], size[to], least)
+        beyond = needed(size[at] + size[to], least) - need
+        good = (place[at] < size[at] - beyond) & (place[to] < size[to] - beyond)
         x, y = copy[at[good]], copy[to[good]]
         found.append(np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))
+        needs.append(np.where(x == y, 1, need[good]))  # texts whose copies collide may have been taken for one
         count += len(x)
         if count >= HELD:
-            yield np.unique(np.concatenate(found))
-            found, count = [], 0
+            yield counted()
+            found, needs, count = [], [], 0
     if count:
-        yield np.unique(np.concatenate(found))
+        yield counted()
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
-    """(x, y), distinct, of ``postings``."""
+    """(x, y), distinct, of ``postings``: the pairs that meet often enough."""
 
     def solve_part(held: list) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        cols = [_values(t.column(f), "<u4")[0] for f in _FIELDS[:3]]
-        for f in _FIELDS[3:]:
+        cols = [_values(t.column(f), "<u4")[0] for f in _FIELDS[:2]]
+        for f in _FIELDS[2:]:
             cols.append(np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(4, -1).T).view("<u4").ravel() for p in t.column(f).to_pylist()]))
-        for pairs in meet(*cols, least):
+        for pairs, met, need in tallies(*cols, least):
             for lo in range(0, len(pairs), 1 << 16):
-                p = pairs[lo : lo + (1 << 16)]
-                yield pa.record_batch({"x": pa.array((p >> np.uint64(32)).astype(np.int64)), "y": pa.array((p & np.uint64(0xFFFFFFFF)).astype(np.int64))})
+                part = slice(lo, lo + (1 << 16))
+                yield pa.record_batch({"pair": pa.array(signed(pairs[part])), "met": pa.array(met[part].astype(np.int64)), "need": pa.array(need[part].astype(np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -240,7 +256,8 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
         if held:
             yield from solve_part(held)
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "x long, y long").distinct()
+    met = rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "pair long, met long, need long").groupBy("pair").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
+    return met.filter("met >= need").select(F.shiftrightunsigned("pair", 32).alias("x"), F.expr("pair & 4294967295").alias("y"))
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -446,7 +463,7 @@ SELECT w.doc_id, min(w.node) AS group_id, count(*) AS group_size, any_value(l.li
 FROM walk w JOIN (SELECT a, count(*) AS links FROM pairs GROUP BY a) l ON l.a = w.doc_id GROUP BY w.doc_id"""
 
 
-# The chosen-path join by sketches that this module had before missed links; the following is all that is left of it, and only tests use it.
+# Only tests use the following: what is left of the chosen-path join by sketches that this module had before, which missed links, and meetings in a single part.
 
 
 def runs_for(least: float, recall: float, path: int) -> int:
@@ -491,3 +508,13 @@ def solve(ids: np.ndarray, sk: np.ndarray, least: float, rng: np.random.Generato
                     at = at[:0]
         left.append(at)
     return links, np.unique(ids[np.concatenate([np.atleast_1d(x) for x in left]).astype(np.int64)]) if left else ids
+
+
+def meet(gram: np.ndarray, before: np.ndarray, copy: np.ndarray, place: np.ndarray, size: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs that meet often enough where one part has all postings; ``before`` plays no part."""
+    got = [np.concatenate(x) for x in zip(*tallies(gram, copy, place, size, least))]
+    if got:
+        pairs, at = np.unique(got[0], return_inverse=True)
+        need = np.full(len(pairs), np.iinfo(np.int64).max)
+        np.minimum.at(need, at, got[2])
+        yield pairs[np.bincount(at, got[1]) >= need]

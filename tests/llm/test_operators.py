@@ -273,6 +273,35 @@ def test_meetings_in_parts():
     assert len(want) > 100 and want <= found
 
 
+def test_meetings_are_counted_over_parts():
+    """Pairs at the threshold meet as often as they must over all parts, whatever the threshold and the sizes; the places of a gram are those of one common order."""
+    rng = np.random.default_rng(8)
+    for least in (0.3, 0.5, 0.8):
+        bases = [rng.choice(1500, rng.integers(1, 300), replace=False) for _ in range(25)]
+        sets = [np.unique(np.where(rng.random(k := rng.integers(1 + len(x) // 3, len(x) + 1)) < rng.choice((0, 0.1, 0.3)), rng.integers(0, 1500, k), x[:k])).astype(np.uint32) for x in bases for _ in range(12)]
+        rows = np.array([(g, i, k, len(s)) for i, s in enumerate(sets) for k, g in enumerate(s) if k <= len(s) - np.ceil(len(s) * least - 1e-6)], np.uint32)
+        met, need = collections.Counter(), {}
+        for part in range(5):
+            for got in jaccard_join.tallies(*rows[rows[:, 0] % 5 == part].T, least):
+                for p, m, o in zip(*(x.tolist() for x in got)):
+                    met[p] += m
+                    need[p] = min(o, need.get(p, o))
+        found = {(p >> 32, p & 0xFFFFFFFF) for p in met if met[p] >= need[p]}
+        want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (c := len(np.intersect1d(sets[i], sets[j]))) >= least * (len(sets[i]) + len(sets[j]) - c)}
+        assert len(want) > 100 and want <= found and max(need.values()) > 5
+
+
+def test_few_shared_grams_make_no_candidates(spark):
+    """Long texts that all share a sentence meet, but not often enough: only near copies are joined to anything."""
+    rnd = random.Random(77)
+    core = sentence(rnd, 8)
+    rows = [(i, core + " " + sentence(rnd, 400)) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " " + sentence(rnd, 30)) for i in range(10)]
+    none = (np.empty(0, np.uint64), np.empty(0, np.uint64)), (np.empty(0, np.int64), np.empty(0, np.int64))
+    dealt = jaccard_join.postings(spark.createDataFrame(rows, "doc_id long, text string"), 3, "doc_id", "text", 0.5, *none, 7)
+    assert jaccard_join.candidates(dealt, 0.5).count() == 10
+
+
 # 2
 
 
