@@ -5,9 +5,9 @@ import re
 import time
 
 import corpus_pipeline as P
-from passages.llm import bpe, decontamination, pii, quality_rules
+from passages.llm import bpe, decontamination, jaccard_join, pii, quality_rules
 
-from tests.llm.test_operators import brute_groups, brute_model
+from tests.llm.test_operators import brute_groups, brute_model, sentence
 
 
 def test_stages(spark, sf, duck):
@@ -98,3 +98,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
             want[r[0]] = want.get(r[0], 0) + n
     assert {r[0]: r[1] for r in pieces} == want
     assert time.time() - began < 300
+
+
+def test_near_copies_join_few_pairs(spark, monkeypatch):
+    """The stage looks up sets for pairs that meet often enough only: of texts that share a sentence and near copies, for the latter."""
+    rnd = random.Random(78)
+    rows = []
+    for i in range(0, 60, 2):
+        shared = sentence(rnd, 20)
+        rows += [(i + k, shared + " " + sentence(rnd, 400)) for k in (0, 1)]
+    rows += [(100 + i, rows[i][1] + " " + sentence(rnd, 30)) for i in range(10)]
+    pairs, bounded = [], jaccard_join.bounded
+    monkeypatch.setattr(jaccard_join, "bounded", lambda found, *rest: pairs.append(found.count()) or bounded(found, *rest))
+    kept = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60)) and pairs == [10]
