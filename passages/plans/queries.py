@@ -516,8 +516,8 @@ def merged_index(spark, d):
 def streamed_index(spark, d):
     """Documents that come as a stream, indexed batch by batch."""
     path = _scratch(spark, d, "streamed")
-    docs = _docs(spark, d)
-    rows = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    # as a glob, as a source takes a folder or a glob, and the table may be a file or a folder of files
+    rows = spark.readStream.schema(_docs(spark, d).schema).parquet(f"{d}/documents.parque[t]")
     index_stream(rows, path, f"{path}-checkpoint", INDEX, "doc_id", once=True).awaitTermination()
     ix.finish(spark, path, INDEX)
     return ix.read_index(spark, path).stats.select("fp", "df", "n")

@@ -31,6 +31,16 @@ def test_all_documents_are_queries(spark, sf, name):
     assert short and short <= got
 
 
+def test_streamed_tables(spark, sf, tmp_path):
+    """A table that is a folder of files is streamed as one that is a file."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    (tmp_path / "file").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "file/documents.parquet")
+    got = [sorted(map(tuple, Q.QUERIES["streamed_index"](spark, f"{tmp_path}/{k}").collect())) for k in ("folder", "file")]
+    assert got[0] and got[0] == got[1] == sorted(map(tuple, Q.QUERIES["inverted_index_df"](spark, f"{tmp_path}/folder").collect()))
+
+
 def test_goldens(spark, sf):
     if not sf.endswith("sf0.001"):
         pytest.skip("goldens are for sf0.001")
