@@ -132,3 +132,10 @@ def test_metadata_functions(spark):
     assert a["h"] == "ex.org" and a["w"] == "https://web.archive.org/web/20200102030405/http://WWW.Ex.org:80/a" and a["t"].endswith("/A_b_(c)")
     assert b["h"] == "" and b["w"] is None and b["t"] is None
     assert md.title_search(df.selectExpr("t AS title"), "a").count() == 0
+
+
+def test_markdown_lines_once(spark):
+    """A text is cut into lines once for its heading and once for its abstract."""
+    df = spark.createDataFrame([("# A\n\n## Abstract\n\nx  y\nz\n#",)], "t string").select(md.heading("t").alias("h"), md.abstract("t").alias("a"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert tuple(df.first()) == ("A", "x y z")
