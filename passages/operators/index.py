@@ -8,13 +8,20 @@ from __future__ import annotations
 
 import json
 from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passages.functions.fingerprint import fingerprint_rows
 from passages.params import MODULUS, IndexParams
 
+#: Bytes of the files behind a table of postings that one task gets to sort.
+PART_BYTES = 16 << 20
+
 
 @dataclass(frozen=True)
 class Index:
@@ -35,10 +42,51 @@ def build_postings(docs: DataFrame, params: IndexParams = IndexParams(), id_col:
     return fingerprint_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), params, "doc_id", "text")
 
 
+def parts_for(df: DataFrame, size: int | None = None) -> int:
+    """Tasks to sort postings in: as many as the session has shuffle partitions, and more for larger inputs, so that what a task holds doesn't grow with them. ``size`` is in
+    bytes; where it isn't given it is that of the files that the plan reads, if it reads files."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size is None:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        if size >= 1 << 60:  # what Spark says of tables that it knows nothing about
+            return least
+    return max(least, -(-size // PART_BYTES))
+
+
 def fingerprint_stats(postings: DataFrame) -> DataFrame:
-    """(fp, df, n): documents and postings of each fingerprint."""
-    per_doc = postings.groupBy("fp", "doc_id").agg(F.count("*").alias("k"))
-    return per_doc.groupBy("fp").agg(F.count("*").alias("df"), F.sum("k").alias("n"))
+    """(fp, df, n): documents and postings of each fingerprint. Sorted postings are counted as they pass, so that no task keeps a table of fingerprints."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last fingerprint so far, which may go on in the next batch: itself, its documents and postings, its last document
+        fp, df, n, doc = None, 0, 0, None
+        for b in it:
+            if not b.num_rows:
+                continue
+            f, ids = b.column(0).to_numpy(), b.column(1)
+            if fp is not None and fp != f[0]:
+                yield _stats([fp], [df], [n])
+            goes_on = fp is not None and fp == f[0]
+            same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (ids[1:].is_null().to_numpy(zero_copy_only=False) & ids[:-1].is_null().to_numpy(zero_copy_only=False))
+            first = np.concatenate([[True], f[1:] != f[:-1]])
+            new = first.copy()
+            new[1:] |= ~same
+            at = np.flatnonzero(first)
+            dfs, ns = np.add.reduceat(new.astype(np.int64), at), np.diff(np.append(at, len(f)))
+            if goes_on:
+                dfs[0] += df - (doc == ids[0].as_py())
+                ns[0] += n
+            yield _stats(f[at[:-1]], dfs[:-1], ns[:-1])
+            fp, df, n, doc = int(f[-1]), int(dfs[-1]), int(ns[-1]), ids[-1].as_py()
+        if fp is not None:
+            yield _stats([fp], [df], [n])
+
+    placed = postings.select("fp", "doc_id").repartition(parts_for(postings), "fp").sortWithinPartitions("fp", "doc_id")
+    return placed.mapInArrow(run, "fp long, df long, n long")
+
+
+def _stats(fp, df, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (fp, df, n)], ["fp", "df", "n"])
 
 
 def in_memory(docs: DataFrame, params: IndexParams = IndexParams(), id_col: str = "id", text_col: str = "text") -> Index:
@@ -80,7 +128,7 @@ def part_of(fp: str | Column, window_size: int, parts: int) -> Column:
 
 def placed(postings: DataFrame, params: IndexParams, partitions: int | None = None) -> DataFrame:
     """(fp, doc_id, pos) in files of one range of fingerprints each, sorted: row-group statistics then stand in for a search tree."""
-    parts = partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or parts_for(postings)
     cols = postings.select("fp", "doc_id", "pos")
     return cols.repartitionById(parts, part_of("fp", params.window_size, parts)).sortWithinPartitions("fp", "doc_id", "pos")
 
@@ -93,8 +141,9 @@ def write_index(postings: DataFrame, path: str, params: IndexParams, partitions:
 def finish(spark: SparkSession, path: str, params: IndexParams) -> None:
     """The tables that follow from the stored postings."""
     stored = spark.read.parquet(f"{path}/postings").select("fp", "doc_id", "pos")
-    stored.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/docs")
-    fingerprint_stats(stored).sortWithinPartitions("fp").write.mode("overwrite").parquet(f"{path}/stats")
+    # each document has a fingerprint in its first window, so its other postings needn't be looked at
+    stored.filter(F.col("pos") < max(1, params.window_size)).select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/docs")
+    fingerprint_stats(stored).write.mode("overwrite").parquet(f"{path}/stats")
     meta = spark.createDataFrame([(json.dumps(params.as_dict()),)], "params string")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -149,8 +198,8 @@ def nested_postings(postings: DataFrame) -> DataFrame:
 
 def write_json_index(postings: DataFrame, path: str, params: IndexParams = IndexParams()) -> None:
     """Gzipped JSON lines, sorted by fingerprint in each file, and a file with the header: parameters and the number of fingerprints."""
-    lines = nested_postings(postings)
-    lines.repartitionById(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), part_of("fingerprint", params.window_size, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))).sortWithinPartitions("fingerprint").write.mode("overwrite").option("compression", "gzip").json(f"{path}/lines")
+    lines, parts = nested_postings(postings), parts_for(postings)
+    lines.repartitionById(parts, part_of("fingerprint", params.window_size, parts)).sortWithinPartitions("fingerprint").write.mode("overwrite").option("compression", "gzip").json(f"{path}/lines")
     p = params
     count = postings.sparkSession.read.text(f"{path}/lines").agg(F.count("*").alias("num_fingerprints"))
     head = count.select(*[F.lit(v).alias(k) for k, v in p.as_dict().items()], "num_fingerprints")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passages.operators.index import build_postings, placed
+from passages.operators.index import build_postings, parts_for, placed
 from passages.params import IndexParams
 
 
@@ -19,7 +19,9 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, params: IndexParam
     ``finish`` (of ``passages.operators.index``) then makes an index of them that ``read_index`` opens; it may be run again as batches come in."""
 
     def append(batch: DataFrame, number: int) -> None:
-        placed(build_postings(batch, params, id_col, text_col), params).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        # a batch's plan doesn't say how large it is; its text is some two to four times what its files are
+        size = batch.agg(F.sum(F.octet_length(text_col)).alias("size")).first()["size"] or 0
+        placed(build_postings(batch, params, id_col, text_col), params, parts_for(batch, size // 2)).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     writer = docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -139,3 +139,27 @@ def test_markdown_lines_once(spark):
     df = spark.createDataFrame([("# A\n\n## Abstract\n\nx  y\nz\n#",)], "t string").select(md.heading("t").alias("h"), md.abstract("t").alias("a"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
     assert tuple(df.first()) == ("A", "x y z")
+
+
+def test_parts_grow_with_files(spark, docs, tmp_path, monkeypatch):
+    """Larger inputs are sorted in more tasks, whatever the session's number of partitions, and no task keeps a table of fingerprints."""
+    docs.write.parquet(f"{tmp_path}/d")
+    monkeypatch.setattr(ix, "PART_BYTES", 20_000)
+    read = spark.read.parquet(f"{tmp_path}/d")
+    placed = ix.placed(ix.build_postings(read), IndexParams())
+    assert placed.rdd.getNumPartitions() > 4 and rows(placed) == rows(ix.build_postings(docs))
+    assert ix.parts_for(spark.createDataFrame([(1,)], "x int")) == 4
+    assert "HashAggregate" not in ix.fingerprint_stats(placed)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stats_across_batches(spark):
+    """Counts go on where a batch ends within a fingerprint or a document, null ids being one document."""
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    data = [(f, d, p) for f in range(6) for d in (None, *range(f)) for p in range(1 + f % 3)]
+    try:
+        for size in (1, 2, 3, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = ix.fingerprint_stats(spark.createDataFrame(data, "fp long, doc_id long, pos int")).collect()
+            assert sorted(map(tuple, got)) == [(f, f + 1, (f + 1) * (1 + f % 3)) for f in range(6)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
