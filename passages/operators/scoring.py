@@ -13,17 +13,18 @@ from passages.operators.index import Index, index_stats
 from passages.params import CHARS_PER_WORD, ScoreParams
 
 
-def rarity(index: Index) -> DataFrame:
-    """(fp, rarity): 1 - df / documents."""
-    return index.stats.crossJoin(F.broadcast(index.num_documents())).select("fp", (1 - F.col("df") / F.col("num_documents")).alias("rarity"))
+def rarity(index: Index, queries: DataFrame | None = None) -> DataFrame:
+    """(fp, rarity): 1 - df / documents; only of the queries' fingerprints if they are given, as a join that keeps its left side would sort all of them."""
+    stats = index.stats if queries is None else index.stats.join(queries.select("fp").distinct(), "fp", "left_semi")
+    return stats.crossJoin(F.broadcast(index.num_documents())).select("fp", (1 - F.col("df") / F.col("num_documents")).alias("rarity"))
 
 
-def weights(index: Index, rarity_weighted: bool) -> DataFrame | None:
-    """(fp, weight), rarities over their index-wide mean; None stands for weight 1 throughout."""
+def weights(index: Index, rarity_weighted: bool, queries: DataFrame) -> DataFrame | None:
+    """(fp, weight) of the queries' fingerprints, rarities over their index-wide mean; None stands for weight 1 throughout."""
     if not rarity_weighted:
         return None
     mean = index_stats(index).select("mean_weight")
-    return rarity(index).crossJoin(F.broadcast(mean)).select("fp", (F.col("rarity") / F.col("mean_weight")).alias("weight"))
+    return rarity(index, queries).crossJoin(F.broadcast(mean)).select("fp", (F.col("rarity") / F.col("mean_weight")).alias("weight"))
 
 
 def _shared(queries: DataFrame, index: Index, cands: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def _shared(queries: DataFrame, index: Index, cands: DataFrame) -> DataFrame:
 def score_shared(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(), rarity_weighted: bool = False) -> DataFrame:
     """(query_id, doc_id, rank, raw_score): summed weights of the distinct shared fingerprints."""
     cands = candidates(queries, index.postings, p.min_fingerprints, p.top_k)
-    w = weights(index, rarity_weighted)
+    w = weights(index, rarity_weighted, queries)
     if w is None:
         return cands.select("query_id", "doc_id", "rank", F.col("n_shared").cast("double").alias("raw_score"))
     joined = _shared(queries, index, cands).join(w, "fp", "left")
@@ -44,7 +45,7 @@ def score_shared(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(
 def count_scores(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(), cands: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank, num_shared, rarity_sum): unnormalised rarities."""
     cands = cands if cands is not None else candidates(queries, index.postings, p.min_fingerprints, p.top_k)
-    joined = _shared(queries, index, cands).join(rarity(index), "fp", "left")
+    joined = _shared(queries, index, cands).join(rarity(index, queries), "fp", "left")
     return joined.groupBy("query_id", "doc_id", "rank").agg(F.count("*").alias("num_shared"), F.sum(F.coalesce("rarity", F.lit(0.0))).alias("rarity_sum"))
 
 
@@ -58,7 +59,7 @@ def score_chains(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(
     """(query_id, doc_id, rank, raw_score): the best cluster's summed weights of distinct fingerprints; 0 without a cluster."""
     cands, points = chains(queries, index, p)
     distinct = points.filter("cluster_id >= 0").select("query_id", "doc_id", "cluster_id", "fp").distinct()
-    w = weights(index, rarity_weighted)
+    w = weights(index, rarity_weighted, queries)
     weighted = distinct.withColumn("weight", F.lit(1.0)) if w is None else distinct.join(w, "fp", "left").fillna(0.0, ["weight"])
     best = weighted.groupBy("query_id", "doc_id", "cluster_id").agg(F.sum("weight").alias("s")).groupBy("query_id", "doc_id").agg(F.max("s").alias("s"))
     return cands.join(best, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", F.coalesce("s", F.lit(0.0)).alias("raw_score"))
@@ -67,7 +68,7 @@ def score_chains(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams(
 def cluster_metrics(queries: DataFrame, index: Index, p: ScoreParams = ScoreParams()) -> DataFrame:
     """(query_id, doc_id, rank, num_shared, rarity_sum, num_in_largest, rarity_in_rarest): the last two may be of different clusters."""
     cands, points = chains(queries, index, p)
-    distinct = points.filter("cluster_id >= 0").select("query_id", "doc_id", "cluster_id", "fp").distinct().join(rarity(index), "fp", "left")
+    distinct = points.filter("cluster_id >= 0").select("query_id", "doc_id", "cluster_id", "fp").distinct().join(rarity(index, queries), "fp", "left")
     per = distinct.groupBy("query_id", "doc_id", "cluster_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("rarity", F.lit(0.0))).alias("r"))
     best = per.groupBy("query_id", "doc_id").agg(F.max("n").alias("num_in_largest"), F.max("r").alias("rarity_in_rarest"))
     return count_scores(queries, index, p, cands).join(best, ["query_id", "doc_id"], "left").fillna({"num_in_largest": 0, "rarity_in_rarest": 0.0})
