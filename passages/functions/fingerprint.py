@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from passages.functions.unicode_classes import PUNCTUATION, SPACES
 from passages.params import MODULUS, IndexParams
+from passages.storage import text_batches
 
 FNV_START = 1469598103934665603
 FNV_PRIME = 1099511628211
-SLICE = 1 << 21
+SLICE = 1 << 19
 _DROP, _WORD, _SPACE = 0, 1, 2
 
 
@@ -196,7 +197,7 @@ def fingerprint_rows(docs: DataFrame, p: IndexParams = IndexParams(), id_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + x)), pa.array(pos), pa.array(fp)], [id_col, "pos", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, fp long")
+    return text_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, pos int, fp long")
 
 
 # -- the same as expressions -------------------------------------------------
@@ -228,7 +229,7 @@ def hash_rows(docs: DataFrame, p: IndexParams = IndexParams(), id_col: str = "id
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + x)), pa.array((np.arange(len(row)) - t.bounds[row]).astype(np.int32)), pa.array(token_hashes(t))], [id_col, "pos", "token_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, token_hash long")
+    return text_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, pos int, token_hash long")
 
 
 def offset_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text", punctuation: bool = False) -> DataFrame:
@@ -250,7 +251,7 @@ def offset_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text", pun
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + x)), pa.array((np.arange(len(row)) - t.bounds[row]).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], [id_col, "pos", "start", "end"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, start int, end int")
+    return text_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, pos int, start int, end int")
 
 
 def token_offsets(document: str, punctuation: bool = False) -> list[tuple[int, int]]:
