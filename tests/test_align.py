@@ -56,3 +56,26 @@ def test_column(spark):
     df = spark.createDataFrame([("hello there world", "hello there world"), (None, "x")], "text1 string, text2 string")
     got = {r["text1"]: r["regions"] for r in al.align_pairs(df).collect()}
     assert got[None] == [] and got["hello there world"][0]["score"] == 17.0
+
+
+def test_many_at_a_time():
+    """Pairs scored together, within a band where a least score is asked for, have the ends and unrounded scores that each has alone."""
+    rng, letters = random.Random(2), "abAB .,-—@ß\n"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [("", "x"), ("a", "a")]
+    for n in (3, 17, 60, 150):
+        for _ in range(6):
+            a = text(n)
+            b = list(a)
+            for _ in range(n // 6):
+                b[rng.randrange(n)] = text(rng.randint(0, 3))
+            pairs += [(a, text(rng.randint(0, 2 * n))), (a, "".join(b)), (text(n // 3) + a, "".join(b) + text(n))]
+    alone = []
+    for a, b in pairs:
+        s, t, gaps, table = al._encode(a, b)
+        alone.append(al._sweep(s, t, 1.0, gaps, table, False)[:3])
+    assert al.best_scores(pairs) == alone
+    for least in (2, 20, 90):
+        got = al.best_scores(pairs, least=least)
+        assert all(x == y if y[0] >= least else x[0] < least for x, y in zip(got, alone))
+    assert [s for s in al.region_scores(pairs)] == [al.align(a, b).score() for a, b in pairs]
