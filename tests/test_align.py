@@ -79,3 +79,12 @@ def test_many_at_a_time():
         got = al.best_scores(pairs, least=least)
         assert all(x == y if y[0] >= least else x[0] < least for x, y in zip(got, alone))
     assert [s for s in al.region_scores(pairs)] == [al.align(a, b).score() for a, b in pairs]
+
+
+def test_aligned_once(spark):
+    """A pair is aligned once, after the pairs are dealt out, also where its regions are exploded."""
+    from pyspark.sql import functions as F
+
+    got = al.align_pairs(spark.range(3).select("id", F.lit("a text that is long").alias("text1"), F.lit("a text that is long").alias("text2"))).select("id", F.explode("regions").alias("r"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and got.count() == 3
